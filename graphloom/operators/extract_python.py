@@ -1,0 +1,363 @@
+"""Definitions and references of Python files.
+
+Two passes over the files, each one mapInArrow.  The first emits what a file defines.  What its
+imports mean depends on all other files, so the driver of the second pass is a join: import requests
+meet the modules by path suffix, and each file gets the symbols of the modules that it imports as its
+environment.  The second pass then resolves names with nothing but the file and that environment.
+"""
+
+from __future__ import annotations
+
+import ast
+import hashlib
+from collections import Counter
+from collections.abc import Iterable
+from dataclasses import dataclass, field
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
+
+from ..functions.text import relative_module
+from ..schema import FRAGMENT, allowed
+
+#: Logical edges of the language and what they are in the graph.
+EDGE_NAMES = {
+    "calls": "calls", "contains_method": "contains_member", "contains_variable": "contains_member", "decorates": "decorates", "defines_class": "defines",
+    "defines_function": "defines", "extends": "extends", "import": "imports", "import_from": "imports", "writes_to": "writes_to",
+}
+_DEF = (ast.FunctionDef, ast.AsyncFunctionDef)
+
+
+@dataclass
+class Fragment:
+    """What is found in one file; kinds: type of each known node id."""
+
+    path: str
+    kinds: dict[str, str] = field(default_factory=dict)
+    nodes: list[dict] = field(default_factory=list)
+    edges: list[dict] = field(default_factory=list)
+    ambiguities: list[dict] = field(default_factory=list)
+    said: Counter = field(default_factory=Counter)
+
+    def doubt(self, kind: str, expression: str, reason: str, scope: str, confidence: str = "unresolved") -> None:
+        """A known unknown. Its id follows from what it says and how often that was said before."""
+        self.said[kind, expression, scope] += 1
+        nth = self.said[kind, expression, scope] - 1
+        key = hashlib.sha256("\x1f".join((self.path, kind, expression, reason, scope, str(nth))).encode("utf-8", "replace")).hexdigest()
+        self.ambiguities.append({"id": key, "kind": kind, "source_file": scope.partition("::")[0], "source_scope": scope, "expression": expression, "reason": reason, "confidence": confidence, "resolver": "agent"})
+
+    def link(self, logical: str, source: str, target: str, call_line: int | None = None) -> None:
+        """An edge that the language mapping and the schema allow; else a doubt."""
+        left, right = self.kinds.get(source), self.kinds.get(target)
+        if left is None or right is None:
+            return
+        edge = EDGE_NAMES.get(logical)
+        if edge is None:
+            self.doubt("mapping_violation", logical, f"No mapping for the edge {logical}", source, "structural_violation")
+        elif not allowed(edge, left, right):
+            self.doubt("schema_violation", f"{logical} -> {edge}", f"{edge} can't lead from {left} to {right}", source, "structural_violation")
+        else:
+            self.edges.append({"edge": edge, "from": source, "to": target, "call_line": call_line})
+
+
+def _shown(node: ast.expr) -> str:
+    match node:
+        case ast.Constant(value=v):
+            return str(v)
+        case ast.Name(id=name):
+            return name
+    return "<complex>"
+
+
+def _decorator(node: ast.expr) -> str | None:
+    match node:
+        case ast.Name(id=name) | ast.Attribute(attr=name):
+            return "@" + name
+        case ast.Call(func=ast.Name(id=name)) | ast.Call(func=ast.Attribute(attr=name)):
+            return f"@{name}(...)"
+        case ast.Call():
+            return "@<complex_call>"
+    return None
+
+
+def signature(node: ast.FunctionDef | ast.AsyncFunctionDef) -> dict:
+    marks = map(_decorator, node.decorator_list)
+    return {"args": [a.arg for a in node.args.args], "defaults": [_shown(d) for d in node.args.defaults], "decorators": [m for m in marks if m], "returns": _shown(node.returns) if node.returns else None}
+
+
+def _lines(node: ast.AST) -> dict:
+    return {"line_start": node.lineno, "line_end": node.end_lineno} if hasattr(node, "lineno") else {}
+
+
+def definitions(path: str, text: str) -> Fragment:
+    """First pass: files, classes, functions, methods, variables and who defines or contains them."""
+    tree, out = ast.parse(text), Fragment(path)
+
+    def add(kind: str, name: str, key: str, node: ast.AST, **more) -> None:
+        doc = {"docstring": ast.get_docstring(node)} if isinstance(node, (*_DEF, ast.ClassDef, ast.Module)) else {}
+        out.kinds[key] = kind
+        out.nodes.append({"id": key, "node_type": kind, "name": name, "analysis_confidence": "structural", **_lines(node), **doc, **more})
+
+    def variable(target: ast.expr, node: ast.AST, scope: str, kind: str) -> None:
+        if isinstance(target, ast.Name) and (key := f"{scope}::{target.id}") not in out.kinds:
+            add("Variable", target.id, key, node)
+            out.link("defines" if kind == "File" else "contains_variable", scope, key)
+
+    def walk(node: ast.AST, scope: str, kind: str) -> None:
+        for child in ast.iter_child_nodes(node):
+            match child:
+                case ast.ClassDef(name=name):
+                    key = f"{scope}::{name}"
+                    add("Class", name, key, child)
+                    if kind == "File":
+                        out.link("defines_class", scope, key)
+                    elif kind == "Class":
+                        out.doubt("nested_class_unmodeled", name, "A class in a class has no edge", scope, "structural_violation")
+                    walk(child, key, "Class")
+                case ast.FunctionDef(name=name) | ast.AsyncFunctionDef(name=name):
+                    if kind in ("Function", "Method"):
+                        out.doubt("nested_function_unmodeled", name, "A function in a function is left out", scope)
+                        continue
+                    key, own = f"{scope}::{name}", "Method" if kind == "Class" else "Function"
+                    add(own, name, key, child, is_async=isinstance(child, ast.AsyncFunctionDef), signature=signature(child))
+                    if kind in ("File", "Class"):
+                        out.link("defines_function" if kind == "File" else "contains_method", scope, key)
+                    walk(child, key, own)
+                case ast.Assign(targets=targets):
+                    for t in targets:
+                        variable(t, child, scope, kind)
+                case ast.AnnAssign(target=t):
+                    variable(t, child, scope, kind)
+                case _:
+                    walk(child, scope, kind)
+
+    add("File", path.rpartition("/")[2], path, tree, file_path=path, hash=hashlib.md5(text.encode("utf-8")).hexdigest())
+    walk(tree, path, "File")
+    return out
+
+
+def import_requests(path: str, text: str) -> list[tuple[str, bool]]:
+    """(path wanted, whether exactly that path) for each import statement."""
+    wanted = []
+    for node in ast.walk(ast.parse(text)):
+        match node:
+            case ast.Import(names=names):
+                wanted += [(a.name.replace(".", "/") + ".py", False) for a in names]
+            case ast.ImportFrom(module=module, level=level) if level:
+                if (guess := relative_module(path, level, module)) is not None:
+                    wanted.append((guess + ".py", True))
+            case ast.ImportFrom(module=module) if module:
+                wanted.append((module.replace(".", "/") + ".py", False))
+    return wanted
+
+
+class _Scope:
+    """Names of a scope and of those around it."""
+
+    def __init__(self, key: str, around: "_Scope | None", names: dict[str, str]) -> None:
+        self.key, self.around, self.names = key, around, names
+
+    def find(self, name: str) -> str | None:
+        s: _Scope | None = self
+        while s:
+            if name in s.names:
+                return s.names[name]
+            s = s.around
+        return None
+
+
+_LOCAL = "\x00argument"
+
+
+def references(path: str, text: str, modules: dict[tuple[str, bool], str], known: dict[str, str], compat: bool = False) -> Fragment:
+    """Second pass: imports, inheritance, decorators, calls and writes.
+
+    modules: import request -> id of the module; known: ids of those modules and their symbols with
+    their types.  compat leaves out calls on the right side of a plain assignment.
+    """
+    own = definitions(path, text)
+    out = Fragment(path, {**known, **own.kinds})
+    inside: dict[str, dict[str, str]] = {}
+    for key in own.kinds:
+        around, _, name = key.rpartition("::")
+        inside.setdefault(around, {})[name] = key
+
+    def resolve(node: ast.expr, scope: _Scope) -> str | None:
+        match node:
+            case ast.Name(id=name):
+                return scope.find(name)
+            case ast.Attribute(value=value, attr=attr):
+                base = resolve(value, scope)
+                if base and base != _LOCAL and f"{base}::{attr}" in out.kinds:
+                    return f"{base}::{attr}"
+                if isinstance(value, ast.Name) and value.id == "self":
+                    s: _Scope | None = scope
+                    while s and out.kinds.get(s.key) != "Class":
+                        s = s.around
+                    if s and f"{s.key}::{attr}" in out.kinds:
+                        return f"{s.key}::{attr}"
+        return None
+
+    def proven(node: ast.expr, scope: _Scope) -> str | None:
+        found = resolve(node, scope)
+        return None if found == _LOCAL else found
+
+    def marks(node, key: str, scope: _Scope) -> None:
+        for d in node.decorator_list:
+            if found := proven(d, scope):
+                out.link("decorates", found, key)
+            else:
+                out.doubt("decorator_unknown", ast.dump(d), "The decorator isn't defined here", key)
+
+    def imported(node: ast.Import, scope: _Scope) -> None:
+        for a in node.names:
+            if found := modules.get((a.name.replace(".", "/") + ".py", False)):
+                out.link("import", scope.key, found)
+                scope.names[a.asname or a.name] = found
+            else:
+                out.doubt("import_module_unknown", a.name, "No such file", scope.key)
+
+    def imported_from(node: ast.ImportFrom, scope: _Scope) -> None:
+        if node.level:
+            guess = relative_module(path, node.level, node.module)
+            found = None if guess is None else modules.get((guess + ".py", True))
+        else:
+            found = modules.get(((node.module or "").replace(".", "/") + ".py", False))
+        if not found:
+            out.doubt("import_module_unknown", str(node.module), "No such module", scope.key)
+            return
+        out.link("import_from", scope.key, found)
+        for a in node.names:
+            key = f"{found}::{a.name}"
+            if key in out.kinds:
+                out.link("import", scope.key, key)
+                scope.names[a.asname or a.name] = key
+            else:
+                out.doubt("import_symbol_type_unknown", a.name, "The module has no such symbol", scope.key)
+
+    def walk(node: ast.AST, scope: _Scope) -> None:
+        for child in ast.iter_child_nodes(node):
+            visit(child, scope)
+
+    def visit(node: ast.AST, scope: _Scope) -> None:
+        match node:
+            case ast.ClassDef(name=name):
+                if (key := f"{scope.key}::{name}") in out.kinds:
+                    marks(node, key, scope)
+                    for base in node.bases:
+                        if found := proven(base, scope):
+                            out.link("extends", key, found)
+                        else:
+                            out.doubt("inheritance_target_unproven", ast.dump(base), "The base isn't defined here", key)
+                    walk(node, _Scope(key, scope, dict(inside.get(key, {}))))
+            case ast.FunctionDef(name=name) | ast.AsyncFunctionDef(name=name):
+                if (key := f"{scope.key}::{name}") in out.kinds:
+                    marks(node, key, scope)
+                    walk(node, _Scope(key, scope, {**inside.get(key, {}), **{a.arg: _LOCAL for a in node.args.args}}))
+            case ast.Call(func=func):
+                if found := proven(func, scope):
+                    out.link("calls", scope.key, found, node.lineno)
+                else:
+                    out.doubt("call_target_unknown", ast.dump(func), "The target isn't defined here", scope.key)
+                walk(node, scope)
+            case ast.Import():
+                imported(node, scope)
+            case ast.ImportFrom():
+                imported_from(node, scope)
+            case ast.Assign(targets=targets):
+                for t in targets:
+                    if isinstance(t, ast.Name) and (found := scope.find(t.id)) and out.kinds.get(found) == "Variable":
+                        out.link("writes_to", scope.key, found)
+                if not compat:
+                    visit(node.value, scope)
+            case _:
+                walk(node, scope)
+
+    walk(ast.parse(text), _Scope(path, None, dict(inside.get(path, {}))))
+    return out
+
+
+# ---- over DataFrames ------------------------------------------------------------------------
+
+_FRAGMENT = to_arrow_schema(_parse_datatype_string(FRAGMENT))
+_NODE_FIELDS = [f.name for f in _FRAGMENT.field("nodes").type.value_type]
+
+
+def _full(nodes: list[dict]) -> list[dict]:
+    return [{k: n.get(k) for k in _NODE_FIELDS} for n in nodes]
+
+
+def _row(f: Fragment | None, log: str | None) -> dict:
+    return {"nodes": _full(f.nodes) if f else [], "edges": f.edges if f else [], "ambiguities": f.ambiguities if f else [], "log": log}
+
+
+def fragments(files: DataFrame) -> DataFrame:
+    """First pass over (path, content): path, nodes, edges, ambiguities, log (null or the error of a
+    file that can't be parsed), wanted (import requests)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                try:
+                    rows.append({"path": path, **_row(definitions(path, text), None), "wanted": [{"guess": g, "exact": e} for g, e in import_requests(path, text)]})
+                except (SyntaxError, ValueError, RecursionError) as error:
+                    rows.append({"path": path, **_row(None, str(error)), "wanted": []})
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    ddl = f"path string, {FRAGMENT}, wanted array<struct<guess:string,exact:boolean>>"
+    schema = to_arrow_schema(_parse_datatype_string(ddl))
+    return files.where("path IS NOT NULL AND content IS NOT NULL").select("path", "content").mapInArrow(run, ddl)
+
+
+def resolve_modules(requests: DataFrame, modules: DataFrame) -> DataFrame:
+    """(path, guess, exact, module): for requests (path, guess, exact) the first module (by path) that
+    is the guess or, unless exact, ends in it.  Suffixes of module paths make it an equi-join."""
+    parts = F.split("module", "/")
+    suffix = F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.concat_ws("/", F.slice(parts, k, F.size(parts)))))
+    ends = modules.select("module", suffix.alias("guess"))
+    met = requests.join(ends, "guess").where(~F.col("exact") | (F.col("module") == F.col("guess")))
+    return met.groupBy("path", "guess", "exact").agg(F.min("module").alias("module"))
+
+
+def environment(first: DataFrame) -> DataFrame:
+    """(path, modules, known) for each file that imports a known module."""
+    requests = first.select("path", F.explode("wanted").alias("w")).select("path", "w.guess", "w.exact").distinct()
+    found = resolve_modules(requests, first.where("log IS NULL").select(F.col("path").alias("module")))
+    # Ids that occur twice (a function that is defined again) have the type of the last one.
+    symbols = first.select(F.col("path").alias("module"), F.posexplode("nodes").alias("at", "n")).groupBy("module", F.col("n.id").alias("id")).agg(F.max_by("n.node_type", "at").alias("kind"))
+    symbols = symbols.groupBy("module").agg(F.collect_list(F.struct("id", "kind")).alias("symbols"))
+    met = found.join(symbols, "module")
+    return met.groupBy("path").agg(F.collect_list(F.struct("guess", "exact", "module")).alias("modules"), F.flatten(F.collect_list("symbols")).alias("known"))
+
+
+def extract(files: DataFrame, compat: bool = False) -> DataFrame:
+    """Both passes over (path, content): path, nodes, edges, ambiguities, log."""
+    first = fragments(files)
+    ready = first.join(files.select("path", "content"), "path").join(environment(first), "path", "left").select("path", "content", "nodes", "edges", "ambiguities", "log", "modules", "known")
+    ddl = f"path string, {FRAGMENT}"
+    schema = to_arrow_schema(_parse_datatype_string(ddl))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for r in b.to_pylist():
+                if r["log"] is None:
+                    modules = {(m["guess"], m["exact"]): m["module"] for m in r["modules"] or ()}
+                    second = references(r["path"], r["content"], modules, {k["id"]: k["kind"] for k in r["known"] or ()}, compat)
+                    r["edges"] = r["edges"] + second.edges
+                    r["ambiguities"] = r["ambiguities"] + second.ambiguities
+                    for n in r["nodes"]:
+                        n["attributes"] = None
+                rows.append({k: r[k] for k in schema.names})
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return ready.mapInArrow(run, ddl)
+
+
+def first_per_scope(found: DataFrame) -> DataFrame:
+    """Symbol lookup as a join result: of candidates (path, reference, depth, id) the nearest scope's."""
+    near = Window.partitionBy("path", "reference").orderBy(F.desc("depth"), "id")
+    return found.withColumn("rank", F.row_number().over(near)).where("rank = 1").drop("rank")
