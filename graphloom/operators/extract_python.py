@@ -281,16 +281,10 @@ def references(path: str, text: str, modules: dict[tuple[str, bool], str], known
 
 # ---- over DataFrames ------------------------------------------------------------------------
 
-_FRAGMENT = to_arrow_schema(_parse_datatype_string(FRAGMENT))
-_NODE_FIELDS = [f.name for f in _FRAGMENT.field("nodes").type.value_type]
 
-
-def _full(nodes: list[dict]) -> list[dict]:
-    return [{k: n.get(k) for k in _NODE_FIELDS} for n in nodes]
-
-
-def _row(f: Fragment | None, log: str | None) -> dict:
-    return {"nodes": _full(f.nodes) if f else [], "edges": f.edges if f else [], "ambiguities": f.ambiguities if f else [], "log": log}
+def _row(f: Fragment | None, log: str | None, fields: list[str]) -> dict:
+    nodes = [{k: n.get(k) for k in fields} for n in f.nodes] if f else []
+    return {"nodes": nodes, "edges": f.edges if f else [], "ambiguities": f.ambiguities if f else [], "log": log}
 
 
 def fragments(files: DataFrame) -> DataFrame:
@@ -302,13 +296,14 @@ def fragments(files: DataFrame) -> DataFrame:
             rows = []
             for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 try:
-                    rows.append({"path": path, **_row(definitions(path, text), None), "wanted": [{"guess": g, "exact": e} for g, e in import_requests(path, text)]})
+                    rows.append({"path": path, **_row(definitions(path, text), None, fields), "wanted": [{"guess": g, "exact": e} for g, e in import_requests(path, text)]})
                 except (SyntaxError, ValueError, RecursionError) as error:
-                    rows.append({"path": path, **_row(None, str(error)), "wanted": []})
+                    rows.append({"path": path, **_row(None, str(error), fields), "wanted": []})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     ddl = f"path string, {FRAGMENT}, wanted array<struct<guess:string,exact:boolean>>"
     schema = to_arrow_schema(_parse_datatype_string(ddl))
+    fields = [f.name for f in schema.field("nodes").type.value_type]
     return files.where("path IS NOT NULL AND content IS NOT NULL").select("path", "content").mapInArrow(run, ddl)
 
 
