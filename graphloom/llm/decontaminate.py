@@ -8,6 +8,7 @@ second time, with offsets, to say where in the original the passage stands.
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 
 import ahocorasick
@@ -21,7 +22,8 @@ WINDOW, LEAST = 8, 5
 #: The automaton lives in every executor, so items are refused beyond this size.
 MAX_ITEM_BYTES = 256_000_000
 
-_built: dict[int, ahocorasick.Automaton] = {}
+#: Of a Python worker: the automaton of the last benchmark, by a name that only that benchmark has.
+_built: dict[str, ahocorasick.Automaton] = {}
 
 
 def patterns(items: list[tuple[int, str]], window: int = WINDOW) -> dict[str, list[int]]:
@@ -72,13 +74,13 @@ def _items(benchmark: DataFrame) -> list[tuple[int, str]]:
 
 
 def _shared(docs: DataFrame, benchmark: DataFrame, window: int):
-    items = docs.sparkSession.sparkContext.broadcast(_items(benchmark))
+    items, name = docs.sparkSession.sparkContext.broadcast(_items(benchmark)), uuid.uuid4().hex
 
     def get() -> ahocorasick.Automaton:
-        key = (items._jbroadcast_id if hasattr(items, "_jbroadcast_id") else id(items), window)
-        if key not in _built:
-            _built[key] = automaton(items.value, window)
-        return _built[key]
+        if name not in _built:
+            _built.clear()
+            _built[name] = automaton(items.value, window)
+        return _built[name]
 
     return get
 

@@ -48,10 +48,9 @@ def strip_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     bad = spool(boilerplate(counted, min_sites), "boilerplate")
     hits = _lines(counted).join(bad, ["h1", "h2"]).where("NOT (doc_id <=> first.doc_id AND pos <=> first.pos)")
     hits = hits.groupBy("doc_id", "ht").agg(F.collect_set("pos").alias("gone"))
-    ht, gone, removed = free(docs, "ht"), free(docs, "gone"), free(docs, "removed")
-    hits = hits.select(F.col("doc_id").alias("__id"), F.col("ht").alias("__ht"), F.col("gone").alias(gone))
-    own = docs.withColumn(ht, F.xxhash64("text"))
-    joined = own.join(hits, (own["doc_id"] == hits["__id"]) & (own[ht] == hits["__ht"]), "left").drop("__id", "__ht", ht)
+    ht, gone, removed, hit_id, hit_ht = (free(docs, n) for n in ("ht", "gone", "removed", "hit_id", "hit_ht"))
+    hits = hits.select(F.col("doc_id").alias(hit_id), F.col("ht").alias(hit_ht), F.col("gone").alias(gone))
+    joined = docs.withColumn(ht, F.xxhash64("text")).join(hits, (F.col("doc_id") == F.col(hit_id)) & (F.col(ht) == F.col(hit_ht)), "left").drop(hit_id, hit_ht, ht)
     text = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
     return joined.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(text)).withColumn(removed, F.coalesce(F.size(F.when(F.col(gone).isNotNull(), F.col(gone)).otherwise(F.array())), F.lit(0))).drop(gone)
 

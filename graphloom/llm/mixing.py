@@ -31,7 +31,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: float
     """
     weights = WEIGHTS if weights is None else weights
     shard, block, tokens = (free(docs, n) for n in ("shard", "block", "tokens"))
-    src, order = free(docs, "own_source"), free(docs, "own_order")
+    src, order, blocks = (free(docs, n) for n in ("own_source", "own_order", "chosen_blocks"))
     placed = docs.withColumns(
         {
             tokens: F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0)).cast("long"),
@@ -40,10 +40,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: float
         }
     ).withColumn(shard, F.conv(F.substring(order, 1, 8), 16, 10).cast("long") % F.lit(docs.count() // shard_docs + 1))
     sizes = placed.groupBy(shard, src).agg(F.sum(tokens).alias("t"))
-    chosen = choose(sizes.toDF("shard", "src", "t"), weights, budget, block_tokens, seed).toDF(shard, src, "chosen_blocks")
+    chosen = choose(sizes.toDF("shard", "src", "t"), weights, budget, block_tokens, seed).toDF(shard, src, blocks)
     before = Window.partitionBy(shard, src).orderBy(order, F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn(block, F.floor(F.coalesce(F.sum(tokens).over(before), F.lit(0)) / block_tokens).cast("long"))
-    kept = placed.join(chosen, [shard, src]).where(F.array_contains("chosen_blocks", F.col(block)))
+    kept = placed.join(chosen, [shard, src]).where(F.array_contains(blocks, F.col(block)))
     return kept.select(*docs.columns, shard, block, tokens)
 
 
