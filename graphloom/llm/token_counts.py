@@ -1,19 +1,19 @@
 """Token counts with a public byte-level BPE vocabulary.
 
 A document of at most ``chunk`` characters is encoded in one piece.  A longer one is encoded as
-overlapping chunks.  The splitter in front of the BPE matches from left to right and remembers
-nothing, so a place where both chunks begin a piece is a proven common boundary if no match of the
-left chunk up to there can have seen the left chunk's end: tokens before it are taken from the
-left chunk, tokens after it from the right one.  Where the overlap holds no such place (a very long
-run without a boundary) it is widened until there is one.
+overlapping chunks, with the offset of every token.  The splitter in front of the BPE matches from
+left to right and remembers nothing, so a place where both chunks begin a piece is a proven common
+boundary if no match of the left chunk up to there can have seen the left chunk's end: tokens
+before it are taken from the left chunk, tokens after it from the right one.  Where the overlap
+holds no such place (a very long run without a boundary) it is widened until there is one.
 """
 
 from __future__ import annotations
 
 import base64
 from functools import lru_cache
-from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
@@ -44,38 +44,56 @@ def _starts(text: str, begin: int, end: int) -> list[int]:
     return [begin + m.start() for m in _piece.finditer(text[begin:end])]
 
 
-def boundary(text: str, begin: int, right: int, end: int) -> int | None:
-    """The last proven common boundary of the chunks text[begin:end] and text[right:...].
-
-    Both end at a place where the text goes on.  The left chunk's last two pieces may have seen
-    its end (the last may be cut; a run of blanks before it looks one character ahead)."""
-    left = _starts(text, begin, end)[:-2]
-    own = set(left)
-    common = [p for p in _starts(text, right, end)[:-2] if p in own and p > begin]
-    return common[-1] if common else None
-
-
-def splices(text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
-    """Where to go over from one chunk to the next; starts with 0 and ends with len(text)."""
-    cuts = [0]
-    while len(text) - cuts[-1] > chunk:
-        begin, end, wide = cuts[-1], cuts[-1] + chunk, overlap
-        at = None
-        while at is None and end < len(text):
-            at = boundary(text, begin, max(begin, end - wide), end)
-            if at is None and wide >= end - begin:
-                end += wide
+def boundary(text: str, begin: int, known: int, right: int, end: int) -> int | None:
+    """The last proven common boundary, after ``known``, of the chunks text[begin:end] and
+    text[right:...].
+
+    Both are looked at up to the same end, beyond which the text goes on.  The last two pieces
+    may have seen that end (the last may be cut; a run of blanks before it looks one character
+    ahead), so places after them prove nothing."""
+    own = set(_starts(text, begin, end)[:-2])
+    return max((p for p in _starts(text, right, end)[:-2] if p > known and p in own), default=None)
+
+
+def chunks(text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[int, int, int, int]]:
+    """(begin, end, first, last): encode text[begin:end], take the tokens that start in
+    text[first:last].  A chunk begins in the one before it, at most ``overlap`` characters before
+    that one's end where an overlap of that length holds a proven boundary, else further back; if
+    there is none at all the chunk before is made longer."""
+    out = []
+    begin = first = 0
+    end = chunk
+    while end < len(text):
+        wide, at = overlap, None
+        while at is None:
+            right = max(first, end - wide)
+            at = boundary(text, begin, first, right, end)
+            if right == first:
+                break
             wide *= 2
         if at is None:
-            break
-        cuts.append(at)
-    return [*cuts, len(text)]
+            end += max(chunk, end - begin)
+            continue
+        out.append((begin, end, first, at))
+        begin, first, end = right, at, right + chunk + (at - right)
+    return [*out, (begin, len(text), first, len(text))]
 
 
-def count(text: str, enc: tiktoken.Encoding, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
+def encode(text: str, enc: tiktoken.Encoding, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
+    """Ids of the whole text, spliced from its chunks by the tokens' offsets."""
     if len(text) <= chunk:
-        return len(enc.encode_ordinary(text))
-    return sum(len(enc.encode_ordinary(text[a:b])) for a, b in pairwise(splices(text, chunk, overlap)))
+        return enc.encode_ordinary(text)
+    out: list[int] = []
+    for begin, end, first, last in chunks(text, chunk, overlap):
+        ids = enc.encode_ordinary(text[begin:end])
+        starts = np.cumsum([0, *map(len, enc.decode_tokens_bytes(ids))])[:-1]
+        low, high = (len(text[begin:p].encode()) for p in (first, last))
+        out += ids[np.searchsorted(starts, low) : np.searchsorted(starts, high)]
+    return out
+
+
+def count(text: str, enc: tiktoken.Encoding, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
+    return len(encode(text, enc, chunk, overlap))
 
 
 def token_counts(docs: DataFrame, path: str = VOCABULARY, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:

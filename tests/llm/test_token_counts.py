@@ -12,11 +12,10 @@ ALPHABET = st.sampled_from([*"aAbB '’.,!?\n\t\r  0129", "é", "漢", "\x1c", "
 @settings(max_examples=300, deadline=None)
 @given(st.lists(ALPHABET, max_size=300).map("".join), st.integers(8, 40), st.integers(2, 16))
 def test_spliced_counts_are_those_of_the_whole(text, chunk, overlap):
-    cuts = T.splices(text, chunk, overlap)
-    assert cuts[0] == 0 and cuts[-1] == len(text) and all(a < b for a, b in pairwise(cuts)) or not text
-    ids = [t for a, b in pairwise(cuts) for t in ENC.encode_ordinary(text[a:b])]
-    assert ids == ENC.encode_ordinary(text)
-    assert T.count(text, ENC, chunk, overlap) == len(ids)
+    parts = T.chunks(text, chunk, overlap)
+    assert parts[0][2] == 0 and parts[-1][3] == len(text)
+    assert all(x[3] == y[2] and y[0] <= x[3] <= x[1] for x, y in pairwise(parts))
+    assert T.encode(text, ENC, chunk, overlap) == ENC.encode_ordinary(text)
 
 
 @pytest.mark.parametrize("text", ["a" * 50_000, " " * 50_000 + "x", "\n" * 5000 + " " * 5000 + "end", "ab " * 40_000, "x" * 33_000 + " y " * 20_000, "1" * 40_000 + "." * 40_000, LONG])
@@ -27,7 +26,7 @@ def test_huge_documents(text):
 
 def test_a_long_run_widens_the_overlap():
     text = "word " * 100 + "x" * 5000 + " word" * 100
-    assert max(b - a for a, b in pairwise(T.splices(text, 200, 20))) > 5000
+    assert max(end - begin for begin, end, _, _ in T.chunks(text, 200, 20)) > 5000
 
 
 def test_awkward_rows(spark):
