@@ -26,8 +26,8 @@ SEEDS = {w: 4.0 for w in ("idiot", "moron", "stupid", "worthless", "pathetic", "
 EXCEPTIONS = ("trash can", "trash bin", "class clown", "clown fish", "pathetic fallacy", "loser bracket", "rodeo clown")
 #: Labelled rows of each class that the lexicon is fitted on, at most.
 FIT_ROWS = 4000
-#: Documents and log-odds that a learned term needs; letters of a beginning.
-LEAST_DOCS, LEAST_ODDS, STEMS = 3, 3.0, (3, 4, 5, 6)
+#: Documents, share of the toxic ones and log-odds that a learned term needs; letters of a beginning.
+LEAST_DOCS, LEAST_SHARE, LEAST_ODDS, STEMS = 3, 0.02, 3.0, (5, 6, 7)
 #: Score without labelled rows, per 100 words; shorter texts count as of so many words.
 THRESHOLD, LEAST_WORDS = 0.6, 20
 
@@ -88,12 +88,13 @@ def _terms(text: str) -> set[str]:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[dict[str, float], float]:
     """(lexicon, threshold) from at most ``rows`` labelled documents of each class, taken by a
-    hash of their ids.  Without labelled rows of both classes: the seeds and THRESHOLD."""
+    hash of their ids; equal texts count once, or copies of one document would make its words
+    telling.  Without labelled rows of both classes: the seeds and THRESHOLD."""
     known = need(labels, "doc_id", "toxic").where("doc_id IS NOT NULL AND toxic IN (0, 1)").distinct()
     picked = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for k in (0, 1)]
     picked = picked[0].unionAll(picked[1]).withColumnRenamed("doc_id", "id")
     own = need(docs, "doc_id", "text").where("text IS NOT NULL")
-    sample = spool(own.join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select("toxic", "text"), "toxic-sample")
+    sample = spool(own.join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select("toxic", "text").distinct(), "toxic-sample")
     n = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     seeds = {fold(w): v for w, v in SEEDS.items()}
     if len(n) < 2:
@@ -110,16 +111,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[dict[
 
     odds = F.log((F.col("yes") + 0.5) / (n[1] + 1)) - F.log((F.col("no") + 0.5) / (n[0] + 1))
     counted = sample.mapInArrow(tally, "term string, no long, yes long").groupBy("term").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes"))
-    learned = {r.term: r.w for r in counted.where(F.col("yes") >= LEAST_DOCS).select("term", odds.alias("w")).where(F.col("w") >= LEAST_ODDS).collect()}
+    learned = {r.term: r.w for r in counted.where(F.col("yes") >= max(LEAST_DOCS, LEAST_SHARE * n[1])).select("term", odds.alias("w")).where(F.col("w") >= LEAST_ODDS).collect()}
     short = sorted(learned, key=len)
     lexicon: dict[str, float] = {}
     for t in short:  # a longer term says something only if its weight is higher
         if all(lexicon.get(t[:k], 0) < learned[t] - 0.5 for k in range(4, len(t))):
             lexicon[t] = learned[t]
     lexicon |= {t: max(w, lexicon.get(t, 0)) for t, w in seeds.items()}
-    a = compiled(lexicon)
     scored = sample.mapInArrow(by_batch(lambda b: pa.RecordBatch.from_arrays([b.column(0), pa.array([rate(t, compiled_once(lexicon))[0] for t in b.column(1).to_pylist()])], ["toxic", "score"])), "toxic int, score double").toPandas()
-    del a
     unspool(sample)
     y, s = scored["toxic"].to_numpy(), scored["score"].to_numpy()
     order = np.argsort(-s, kind="stable")

@@ -38,11 +38,12 @@ def test_against_brute_force(spark, sf_dir):
 
 
 def test_held_out_labels(spark, sf_dir):
-    """Fitted on half of the labelled rows, told on the other half."""
-    d, known = (spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    """Fitted on half of the labelled rows, told on the other half; some labels are noise, so that no word of
+    the document speaks for them."""
+    d, known = (spark.read.parquet(f"{sf_dir.replace('0.001', '0.1')}/{t}.parquet") for t in ("documents", "labels"))
     told = T.toxicity(d, *T.fit(d, known.where("doc_id % 2 = 0"))).join(known.where("doc_id % 2 = 1").withColumnRenamed("toxic", "label"), "doc_id").collect()
     hit = sum(r.toxic and r.label for r in told)
-    assert hit >= 0.9 * sum(r.label for r in told) and hit >= 0.9 * sum(r.toxic for r in told)
+    assert hit >= 0.85 * sum(r.label for r in told) and hit >= 0.97 * sum(r.toxic for r in told)
 
 
 def test_without_labels_the_seeds_count(spark):
