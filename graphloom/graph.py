@@ -13,6 +13,8 @@ from .sources.files import scan_files
 from .sources.shared import spool
 
 _NODE = f"seq long, id string, node_type string, name string, file_path string, hash string, line_start int, line_end int, docstring string, is_async boolean, analysis_confidence string, signature {SIGNATURE}, attributes map<string,string>, semantic_roles array<string>"
+#: Places in a file and files in a fragment that seq has room for; what is left is for fragments.
+PLACES, FILES = 2**31, 2**29
 _EDGE = "seq long, source string, target string, type string, call_line int"
 
 
@@ -36,7 +38,7 @@ class CodeGraph:
         """files: language -> (path, content)."""
         parts = [_fragment(language, f, compat) for language, f in files.items()]
         nodes, edges, doubts = merge.merge([p[0] for p in parts], [p[1] for p in parts], [p[2] for p in parts], compat)
-        order = lambda df: df.withColumn("seq", F.col("fragment") * F.lit(2**56) + F.col("seq")).drop("fragment")
+        order = lambda df: df.withColumn("seq", F.col("fragment") * F.lit(PLACES * FILES) + F.col("seq")).drop("fragment")
         nodes = order(nodes)
         for f in _fields(_NODE):
             if f[0] not in nodes.columns:
@@ -160,14 +162,14 @@ def _struct(ddl: str) -> str:
 
 
 def _ordered(df: DataFrame, path: str, place: str) -> DataFrame:
-    """df with seq: the rank of a row's file among the sorted paths, times 2^24, plus its place in the
+    """df with seq: the rank of a row's file among the sorted paths, times PLACES, plus its place in the
     file.  Ranks come from a range partitioning, so no single task sorts all paths."""
     names = df.select(F.col(path).alias("__path")).distinct()
     ranged = spool(names.repartitionByRange("__path").withColumn("part", F.spark_partition_id()), "paths")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each partition
     sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     rank = ranged.join(F.broadcast(sizes), "part").select("__path", (F.col("offset") + F.row_number().over(Window.partitionBy("part").orderBy("__path"))).alias("__rank"))
-    return df.join(rank, df[path] == rank["__path"]).withColumn("seq", F.col("__rank") * F.lit(2**24) + F.col(place).cast("long")).drop("__rank", "__path")
+    return df.join(rank, df[path] == rank["__path"]).withColumn("seq", F.col("__rank") * F.lit(PLACES) + F.col(place).cast("long")).drop("__rank", "__path")
 
 
 def _fragment(language: str, files: DataFrame, compat: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -177,9 +179,9 @@ def _fragment(language: str, files: DataFrame, compat: bool) -> tuple[DataFrame,
         part = lambda c: _ordered(found.select("path", F.posexplode(c).alias("at", "x")), "path", "at").select("seq", "x.*")
         return part("nodes"), part("edges"), part("ambiguities")
     nodes, edges, doubts = extract_html.extract(files, compat) if language == "html" else extract_css.extract(files)
-    nodes = _ordered(nodes.withColumns({"path": F.substring_index("id", "::", 1), "place": F.col("at") + 1}), "path", "place").drop("path", "place", "at")
+    nodes = _ordered(nodes.withColumns({"path": F.substring_index("id", "::", 1), "place": F.col("at")}), "path", "place").drop("path", "place", "at")
     if language == "html":
-        edges = edges.withColumn("place", F.col("first.at") * 64 + F.col("first.rank")).drop("first")
+        edges = edges.withColumn("place", F.col("first.at") * extract_html.RULES + F.col("first.rank")).drop("first")
     else:
         edges = edges.withColumnRenamed("at", "place")
     edges = _ordered(edges.withColumn("path", F.col("`from`")), "path", "place").drop("path", "place")

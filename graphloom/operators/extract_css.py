@@ -63,10 +63,10 @@ def extract(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     each = each.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("at"))).where("nth = 1")
     state = F.when(F.col("pseudo_state").isNotNull(), F.create_map(F.lit("pseudo_state"), "pseudo_state"))
     sheets = _own(files).select(
-        F.lit(-1).alias("at"), F.col("path").alias("id"), F.lit("Stylesheet").alias("node_type"), F.col("path").alias("name"), F.md5(F.col("content").cast("binary")).alias("hash"),
+        F.lit(0).cast("long").alias("at"), F.col("path").alias("id"), F.lit("Stylesheet").alias("node_type"), F.col("path").alias("name"), F.md5(F.col("content").cast("binary")).alias("hash"),
         F.lit(None).cast("int").alias("line_start"), F.lit("structural").alias("analysis_confidence"), F.lit(None).cast("map<string,string>").alias("attributes"),
     )
-    nodes = sheets.unionByName(each.select("at", "id", "node_type", "name", F.lit(None).cast("string").alias("hash"), F.col("line").alias("line_start"), F.lit("heuristic").alias("analysis_confidence"), state.alias("attributes")))
+    nodes = sheets.unionByName(each.select((F.col("at").cast("long") + 1).alias("at"), "id", "node_type", "name", F.lit(None).cast("string").alias("hash"), F.col("line").alias("line_start"), F.lit("heuristic").alias("analysis_confidence"), state.alias("attributes")))
     edges = each.select(F.lit("defines").alias("edge"), F.col("path").alias("from"), F.col("id").alias("to"), F.lit(None).cast("int").alias("call_line"), "at")
     doubts = ambiguities(files).select(
         F.sha2(F.concat_ws("\x1f", "path", "kind", "expression", F.col("at").cast("string")), 256).alias("id"), "kind", F.col("path").alias("source_file"), F.col("path").alias("source_scope"), "expression",

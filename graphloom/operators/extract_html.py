@@ -26,6 +26,8 @@ TAG_RULES = (
 DYNAMIC = ("{{", "{%")
 #: What the historical configuration has: literals that no real template contains.
 DYNAMIC_COMPAT = ("{{ }}", "{% %}")
+#: More than there are rules, so that a place in a page is its tag's number times this plus the rule's.
+RULES = 64
 _RULE = "rank int, tag string, attribute string, edge string, target_type string, condition string, values array<string>"
 _TAGS = "path string, at int, line int, tag string, attrs map<string,string>"
 
@@ -105,10 +107,10 @@ def extract(files: DataFrame, compat: bool = False) -> tuple[DataFrame, DataFram
     first = Window.partitionBy("id").orderBy("at", "rank")
     inner = real.withColumn("nth", F.row_number().over(first)).where("nth = 1")
     nodes = files.where("path IS NOT NULL AND content IS NOT NULL").select(
-        F.lit(-1).alias("at"), F.col("path").alias("id"), F.lit("Template").alias("node_type"), F.col("path").alias("name"), F.md5(F.col("content").cast("binary")).alias("hash"),
+        F.lit(0).cast("long").alias("at"), F.col("path").alias("id"), F.lit("Template").alias("node_type"), F.col("path").alias("name"), F.md5(F.col("content").cast("binary")).alias("hash"),
         F.lit(None).cast("int").alias("line_start"), F.lit("structural").alias("analysis_confidence"), F.lit(None).cast("map<string,string>").alias("attributes"),
     ).unionByName(inner.select(
-        "at", "id", F.col("target_type").alias("node_type"), F.col("value").alias("name"), F.lit(None).cast("string").alias("hash"), F.col("line").alias("line_start"), F.lit("heuristic").alias("analysis_confidence"), context(F.col("tag"), F.col("attrs")).alias("attributes"),
+        (F.col("at").cast("long") * RULES + F.col("rank") + 1).alias("at"), "id", F.col("target_type").alias("node_type"), F.col("value").alias("name"), F.lit(None).cast("string").alias("hash"), F.col("line").alias("line_start"), F.lit("heuristic").alias("analysis_confidence"), context(F.col("tag"), F.col("attrs")).alias("attributes"),
     ))
     edges = real.groupBy("edge", F.col("path").alias("from"), F.col("id").alias("to")).agg(F.min(F.struct("at", "rank")).alias("first")).select("edge", "from", "to", F.lit(None).cast("int").alias("call_line"), "first")
     reason = F.when(F.col("outcome") == "dynamic_value_unresolved", "The value is made by a template").otherwise("The target is outside")

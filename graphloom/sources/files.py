@@ -2,16 +2,45 @@
 
 from __future__ import annotations
 
-from fnmatch import translate
+from fnmatch import fnmatchcase
 
+import pyarrow as pa
+from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.text import glob_regex
+
 EXCLUDED_FOLDERS = (".venv", "__pycache__")
 LANGUAGES = {"py": "python", "html": "html", "css": "css"}
 
 
+def _hidden(root: str, pattern: str) -> list[str]:
+    """Paths below root that Spark's file sources pass over: a part of them begins with _ or a dot."""
+    fs, base = FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
+    found = (f.path for f in fs.get_file_info(FileSelector(base, recursive=True)) if f.type == FileType.File)
+    start = len(base.rstrip("/")) + 1
+    return [p for p in found if any(x[0] in "_." for x in p[start:].split("/")) and fnmatchcase(p.rpartition("/")[2], pattern)]
+
+
+def _read_hidden(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
+    """(path, length, content) of single files, read by the executors."""
+    prefix = root if "://" in root else "file:///"
+
+    def run(batches):
+        fs, _ = FileSystem.from_uri(prefix)
+        for b in batches:
+            for p in b.column(0).to_pylist():
+                with fs.open_input_stream(p) as f:
+                    text = f.read()
+                yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([len(text)], pa.int64()), pa.array([text], pa.binary())], ["path", "length", "content"])
+
+    listed = spark.createDataFrame([(p,) for p in paths], "path string")
+    return listed.repartition(max(1, len(paths) // 1000)).mapInArrow(run, "path string, length long, content binary")
+
+
 def scan_files(spark: SparkSession, root: str, pattern: str = "*.py", folders: tuple[str, ...] = EXCLUDED_FOLDERS, names: tuple[str, ...] = (), content: bool = True) -> DataFrame:
-    """(path, language, content) of the files below root, or of root itself if it is a file.
+    """(path, language, n_bytes, content) of the files below root, or of root itself if it is a file;
+    names that begin with _ or a dot count too.
 
     Paths are relative to root, and so are the folders that exclude: where the project lies doesn't
     matter.  Without content only the listing is read."""
@@ -20,18 +49,22 @@ def scan_files(spark: SparkSession, root: str, pattern: str = "*.py", folders: t
     fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     single = fs.exists(jpath) and fs.getFileStatus(jpath).isFile()
     base = fs.makeQualified(jpath.getParent() if single else jpath).toUri().getPath().rstrip("/") + "/"
-    if not single:
-        files = files.option("pathGlobFilter", pattern)
-    found = files.load(root)
+    columns = ["path", "length", *(["content"] if content else [])]
+    if single:
+        found = _read_hidden(spark, root, [fs.makeQualified(jpath).toUri().getPath()]).select(columns)
+    else:
+        found = files.option("pathGlobFilter", pattern).load(root).select(columns)
+        if hidden := _hidden(root, pattern):
+            found = found.unionAll(_read_hidden(spark, root, hidden).select(columns))
     whole = F.regexp_replace("path", "^[a-z0-9]+:(//[^/]*)?(?=/)", "")
-    path = F.substring(whole, F.lit(len(base) + 1), F.length(whole))
-    parts = F.split(path, "/")
+    found = found.withColumn("path", F.substring(whole, F.lit(len(base) + 1), F.length(whole)))
+    parts = F.split("path", "/")
     keep = ~F.arrays_overlap(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array(*map(F.lit, folders)).cast("array<string>"))
     for n in names:
-        keep = keep & ~F.element_at(parts, -1).rlike(translate(n).replace("\\Z", "$").replace("\\z", "$"))
-    language = F.create_map(*(F.lit(x) for kv in LANGUAGES.items() for x in kv))[F.element_at(F.split(path, r"\."), -1)]
+        keep = keep & ~F.element_at(parts, -1).rlike(glob_regex(n, loose=False))
+    language = F.create_map(*(F.lit(x) for kv in LANGUAGES.items() for x in kv))[F.element_at(F.split("path", r"\."), -1)]
     text = [F.decode("content", "UTF-8").alias("content")] if content else []
-    return found.select(path.alias("path"), language.alias("language"), F.col("length").alias("n_bytes"), *text).where(keep)
+    return found.where(keep).select("path", language.alias("language"), F.col("length").alias("n_bytes"), *text)
 
 
 def load_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:

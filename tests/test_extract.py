@@ -81,7 +81,7 @@ def test_python_nodes(spark):
     assert Counter(n.node_type for n in found["nodes"]) == {"File": 1, "Class": 3, "Method": 1, "Function": 4, "Variable": 6}
     by = {n.id: n for n in found["nodes"]}
     area = by["shapes.py::Shape::area"]
-    assert (area.line_start, area.line_end, list(area.signature.args), list(area.signature.defaults)) == (17, 19, ["self", "scale", "unit"], ["'m'"])
+    assert (area.line_start, area.line_end, list(area.signature.args), list(area.signature.defaults)) == (17, 19, ["self", "scale", "unit"], ["m"])
     assert by["shapes.py::Shape"].docstring == "A shape." and by["shapes.py::main"].is_async
     assert by["shapes.py"].line_start is None and len(by["shapes.py"].hash) == 32
 
@@ -173,15 +173,16 @@ def test_profiles(spark):
 @pytest.fixture
 def tree(tmp_path):
     root = tmp_path / "build" / "proj"
-    for name, text in {"a.py": SHAPES, "base.py": "class Root:\n    pass\n", "web/p.html": PAGE, "web/s.css": SHEET, "__pycache__/x.py": "x = 1\n", ".venv/lib/y.py": "y = 1\n"}.items():
+    for name, text in {"a.py": SHAPES, "base.py": "class Root:\n    pass\n", "web/p.html": PAGE, "web/s.css": SHEET, "web/__init__.py": "ready = True\n", "web/.hidden.py": "", "__pycache__/x.py": "x = 1\n", ".venv/lib/y.py": "y = 1\n"}.items():
         (root / name).parent.mkdir(parents=True, exist_ok=True)
         (root / name).write_text(text)
     return root
 
 
 def test_scan(spark, tree):
-    assert sorted(r.path for r in scan_files(spark, str(tree), "*.py").collect()) == ["a.py", "base.py"]
-    assert [r.path for r in scan_files(spark, str(tree), "*.py", names=("b*",)).collect()] == ["a.py"]
+    assert sorted(r.path for r in scan_files(spark, str(tree), "*.py").collect()) == ["a.py", "base.py", "web/.hidden.py", "web/__init__.py"]
+    assert {r.path: r.content for r in scan_files(spark, str(tree), "*.py", names=("b*", ".*")).collect()} == {"a.py": SHAPES, "web/__init__.py": "ready = True\n"}
+    assert sorted(r.path for r in scan_files(spark, str(tree), "*.py", ("web",), ("a*",), content=False).collect()) == [".venv/lib/y.py", "__pycache__/x.py", "base.py"]
     one = scan_files(spark, str(tree / "a.py")).collect()
     assert [(r.path, r.language, r.content) for r in one] == [("a.py", "python", SHAPES)]
     lines = file_lines(scan_files(spark, str(tree / "base.py"))).collect()
