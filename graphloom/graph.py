@@ -35,7 +35,8 @@ class CodeGraph:
 
     @classmethod
     def from_files(cls, files: dict[str, DataFrame], compat: bool = False) -> "CodeGraph":
-        """files: language -> (path, content)."""
+        """files: language -> (path, content).  The graph is written to the shared folder, so that
+        sources are read and parsed once, whatever is asked of it."""
         parts = [_fragment(language, f, compat) for language, f in files.items()]
         nodes, edges, doubts = merge.merge([p[0] for p in parts], [p[1] for p in parts], [p[2] for p in parts], compat)
         order = lambda df: df.withColumn("seq", F.col("fragment") * F.lit(PLACES * FILES) + F.col("seq")).drop("fragment")
@@ -46,7 +47,7 @@ class CodeGraph:
         every = None
         for f in files.values():
             every = f.select("path", "content") if every is None else every.unionAll(f.select("path", "content"))
-        return cls(nodes, order(edges), doubts.drop("fragment", "seq"), every)
+        return cls(spool(nodes, "nodes"), spool(order(edges), "edges"), spool(doubts.drop("fragment", "seq"), "ambiguities"), every)
 
     def save(self, path: str) -> None:
         for name in ("nodes", "edges", "ambiguities"):
@@ -161,30 +162,33 @@ def _struct(ddl: str) -> str:
     return ", ".join(f"{n}: {t}" for n, t in _fields(ddl))
 
 
-def _ordered(df: DataFrame, path: str, place: str) -> DataFrame:
-    """df with seq: the rank of a row's file among the sorted paths, times PLACES, plus its place in the
-    file.  Ranks come from a range partitioning, so no single task sorts all paths."""
-    names = df.select(F.col(path).alias("__path")).distinct()
-    ranged = spool(names.repartitionByRange("__path").withColumn("part", F.spark_partition_id()), "paths")
+def _ranks(files: DataFrame) -> DataFrame:
+    """(ranked, rank): the place of each path among the sorted paths.  It comes from a range
+    partitioning, so no single task sorts all paths."""
+    ranged = spool(files.select(F.col("path").alias("ranked")).distinct().repartitionByRange("ranked").withColumn("part", F.spark_partition_id()), "paths")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each partition
     sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    rank = ranged.join(F.broadcast(sizes), "part").select("__path", (F.col("offset") + F.row_number().over(Window.partitionBy("part").orderBy("__path"))).alias("__rank"))
-    return df.join(rank, df[path] == rank["__path"]).withColumn("seq", F.col("__rank") * F.lit(PLACES) + F.col(place).cast("long")).drop("__rank", "__path")
+    return ranged.join(F.broadcast(sizes), "part").select("ranked", (F.col("offset") + F.row_number().over(Window.partitionBy("part").orderBy("ranked"))).alias("rank"))
+
+
+def _ordered(df: DataFrame, ranks: DataFrame, path: str, place: str) -> DataFrame:
+    """df with seq: its path's rank times PLACES, plus its place in the file; without those two."""
+    seq = F.col("rank") * F.lit(PLACES) + F.col(place).cast("long")
+    return df.join(ranks, F.col(path) == F.col("ranked")).withColumn("seq", seq).drop("rank", "ranked", path, place)
 
 
 def _fragment(language: str, files: DataFrame, compat: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, ambiguities) with seq, for one language."""
+    ranks = spool(_ranks(files), "ranks")
     if language == "python":
-        found = extract_python.extract(files, compat)
-        part = lambda c: _ordered(found.select("path", F.posexplode(c).alias("at", "x")), "path", "at").select("seq", "x.*")
+        found = spool(extract_python.extract(files, compat), "python")
+        part = lambda c: _ordered(found.select("path", F.posexplode(c).alias("at", "x")), ranks, "path", "at").select("seq", "x.*")
         return part("nodes"), part("edges"), part("ambiguities")
     nodes, edges, doubts = extract_html.extract(files, compat) if language == "html" else extract_css.extract(files)
-    nodes = _ordered(nodes.withColumns({"path": F.substring_index("id", "::", 1), "place": F.col("at")}), "path", "place").drop("path", "place", "at")
+    nodes = _ordered(nodes.withColumn("path", F.substring_index("id", "::", 1)), ranks, "path", "at")
     if language == "html":
-        edges = edges.withColumn("place", F.col("first.at") * extract_html.RULES + F.col("first.rank")).drop("first")
-    else:
-        edges = edges.withColumnRenamed("at", "place")
-    edges = _ordered(edges.withColumn("path", F.col("`from`")), "path", "place").drop("path", "place")
+        edges = edges.withColumn("at", F.col("first.at") * extract_html.RULES + F.col("first.rank")).drop("first")
+    edges = _ordered(edges.withColumn("path", F.col("`from`")), ranks, "path", "at")
     return nodes, edges, doubts.withColumn("seq", F.lit(0).cast("long"))
 
 
