@@ -76,7 +76,10 @@ def smooth(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
 
 
 def threshold(values: np.ndarray) -> float:
-    """Where two clusters part: halfway between the means of what is above and below it."""
+    """Where two clusters part: halfway between the means of what is above and below it; equal values
+    are one cluster, above."""
+    if float(np.ptp(values)) < 1e-9:  # smoothing leaves rounding errors
+        return float(values.min())
     t = float(values.mean())
     while True:
         high = values >= t
