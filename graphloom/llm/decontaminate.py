@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import by_batch, need, plain, plain_spans, read
 
-#: Words of a pattern. Items of fewer than LEAST words say too little to be looked for.
-WINDOW, LEAST = 8, 5
+#: Words of a pattern at most, and of an item at least: one without a word has nothing to look for.
+WINDOW, LEAST = 8, 1
 #: The automaton lives in every executor, so items are refused beyond this size.
 MAX_ITEM_BYTES = 256_000_000
 
@@ -89,8 +89,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     """(doc_id, item_id, start, end) for each passage of a test item in a document; offsets count
     the characters of the original text, end is past the last.
 
-    Case, punctuation and white space don't matter.  Rows without doc_id or text, and items
-    without id or text, are left out; empty texts have no passage; an item that is there twice
+    Case, punctuation and white space don't matter.  An item of fewer words than the window
+    is looked for whole, however short: a one-word answer is found wherever the word stands.  Rows
+    without doc_id or text, and items without id, text or a word, are left out; empty texts have no passage; an item that is there twice
     counts once; repeated documents are reported each; other columns are ignored; with an empty
     table on either side there are no rows.
     """
@@ -107,7 +108,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows whose text has no passage of a test item, all columns as they were.  Rows without
-    text stay."""
+    text stay.  Short items count as in contamination(), so a benchmark of answers like "yes" takes
+    every text with that word; leave such items out of benchmark where that isn't wanted."""
     get = _shared(docs, benchmark, window)
 
     def clean(b: pa.RecordBatch) -> pa.RecordBatch:

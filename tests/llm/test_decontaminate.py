@@ -82,6 +82,14 @@ def test_awkward_rows(spark):
     assert D.contamination(bad, bench(spark, [])).count() == 0 and as_set(D.contamination(docs(spark, [(2, None)]), bench(spark))) == set()
 
 
+def test_short_items_are_found_whole(spark):
+    b = bench(spark, [(1, "Who was he?"), (2, "Oslo"), (3, "..."), (4, "")])
+    table = docs(spark, [(1, "They asked: WHO was -- he?"), (2, "in Oslo."), (3, "Osloer, who was"), (4, "..."), (5, None)])
+    got = {(r.doc_id, r.item_id, r.start, r.end) for r in D.contamination(table, b).collect()}
+    assert got == {(1, 1, 12, 25), (2, 2, 3, 7)}
+    assert {r.doc_id for r in D.drop_contaminated(table, b).collect()} == {3, 4, 5}
+
+
 def test_benchmarks_do_not_mix_in_a_worker(spark):
     table = docs(spark, [(1, "short five word item here")])
     for k in range(4):
