@@ -1,4 +1,4 @@
-"""Bounded walks over a graph: dependencies, impact and containment.
+"""Walks over a graph: dependencies and impact up to a depth, and containment.
 
 A walk is a loop of joins between the frontier and the edges.  Each hop keeps one row per node, so
 the frontier never outgrows the nodes; hops are written to the shared folder, so a walk's plan stays
@@ -96,17 +96,16 @@ def reach_ordered(nodes: DataFrame, edges: DataFrame, start: str, depth: int, re
     return _typed(out, nodes)
 
 
-def containment(nodes: DataFrame, edges: DataFrame, most: int = 32) -> DataFrame:
+def containment(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, owner): the file that a node belongs to along edges of ownership.  Of several owners the
     nearest counts, then the first by (seq of the owner's file, owner); nodes that no file reaches
-    have no row.  ``most`` bounds the depth of nesting."""
+    have no row.  It ends when a level owns nothing new, however deep the nesting."""
     step = edges.where(F.col("type").isin(*OWNERSHIP)).select(F.col("source").alias("here"), F.col("target").alias("there"))
     files = nodes.where("node_type = 'File'").groupBy("id").agg(F.min("seq").alias("rank")).select("id", F.col("id").alias("owner"), "rank")
     found = frontier = spool(files, "owners")
-    for _ in range(most):
+    while True:
         met = step.join(frontier, F.col("here") == F.col("id")).groupBy("there").agg(F.min(F.struct("rank", "owner")).alias("first"))
         frontier = spool(met.select(F.col("there").alias("id"), "first.owner", "first.rank").join(found.select("id"), "id", "left_anti"), "owners")
         if frontier.isEmpty():
-            break
+            return found.select("id", "owner")
         found = found.unionAll(frontier)
-    return found.select("id", "owner")

@@ -63,6 +63,13 @@ def test_containment(spark):
     assert {r.id: r.owner for r in traverse.containment(n, e).collect()} == {"F": "F", "C": "F", "M": "F"}
 
 
+def test_containment_of_deep_nesting_and_cycles(spark):
+    ids = ["F", *(f"C{k}" for k in range(36))]
+    n = nodes(spark, *((i, "Class" if i != "F" else "File") for i in ids))
+    e = edges(spark, *((a, b, "defines") for a, b in zip(ids, ids[1:])), (ids[-1], ids[1], "defines"))
+    assert {r.id: r.owner for r in traverse.containment(n, e).collect()} == dict.fromkeys(ids, "F")
+
+
 def test_merge_last_value_first_place_and_first_edge(spark):
     ddl = "seq long, id string, node_type string, name string, file_path string, docstring string"
     a = spark.createDataFrame([(0, "main.py", "File", "main.py", "main.py", None), (1, "main.py::f", "Function", "f", None, "old"), (2, "main.py::f", "Function", "f", None, "new")], ddl)
