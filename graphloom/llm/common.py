@@ -3,15 +3,12 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-_own_dir: dict[str, str] = {}
-
+from ..sources.shared import release, shared_dir, spool, unspool  # noqa: F401
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -33,38 +30,6 @@ def free(df: DataFrame, name: str) -> str:
     return name
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
-
-    Where it is unset, local sessions get a temporary folder; a cluster has to name one."""
-    if base := spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None):
-        return base
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _own_dir.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="graphloom-"))
-
-
-def spool(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: it cuts lineage, and what was
-    computed survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/graphloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._spooled_at = path
-    return out
-
-
-def unspool(df: DataFrame) -> None:
-    """Delete a spooled table that nothing reads any more."""
-    spark, path = df.sparkSession, spark_path(df)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(path, True)
-
-
-def spark_path(df: DataFrame):
-    return df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._spooled_at)
-
-
 def by_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch | None], rows: int = 1024) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For mapInArrow: f over slices of a bounded number of rows, so that a batch of very long
     texts doesn't need all its intermediate arrays at once."""
