@@ -19,11 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": decontaminate.op8,
     "op9_exact_dedup": exact_dedup.op9,
     "op10_quality_classifier": quality.op10,
+    "chat_typed_parts": chat_format.typed_parts,
 }
 
 #: The others can't be told in SQL; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
-    "op3_chat_formatting": chat_format.SQL,
+    "chat_typed_parts": chat_format.SQL,
     "op5_source_mixing": mixing.SQL,
     "op6_line_dedup": line_dedup.SQL,
     "op9_exact_dedup": exact_dedup.SQL,

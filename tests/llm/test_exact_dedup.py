@@ -34,3 +34,19 @@ def test_awkward_rows(spark):
     assert E.exact_duplicates(docs(spark).limit(0)).count() == 0
     assert as_set(E.exact_duplicates(docs(spark, [(3, ""), (2, ""), (1, None), (0, None)]))) == {(2, 2), (3, 2)}
     assert sorted(map(tuple, E.exact_duplicates(docs(spark, [(3, "a"), (3, "a")])).collect())) == [(3, 3), (3, 3)]
+
+
+def test_ids_that_repeat_join_no_groups(spark):
+    a, b = "a" * 256, "b" * 256
+    rows = [(1, a + "tail"), (1, b + "other"), (2, a + "x"), (3, b + "tail"), (4, a + "y")]
+    assert E.exact_duplicates(docs(spark, rows)).count() == 0
+    r = random.Random(8)
+    texts = [h * 256 + m * r.choice((0, 1, 40, 300)) + t for h in "abc" for m in "xy" for t in ("", "tail", "other")]
+    rows = [(r.randrange(6), r.choice(texts)) for _ in range(120)]
+    want = []
+    for i, t in rows:
+        same = [j for j, u in rows if u == t]
+        if len(same) > 1:
+            want.append((i, min(same)))
+    assert sorted(map(tuple, E.exact_duplicates(docs(spark, rows)).collect())) == sorted(want)
+    assert sorted(map(tuple, E.exact_duplicates(docs(spark, rows), first=2, growth=2).collect())) == sorted(want)
