@@ -48,13 +48,24 @@ def by_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch | None], rows: int = 1
 _ASCII = bytes(c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 #: General punctuation, Latin-1 punctuation, CJK punctuation as UTF-8 bytes.
 _WIDE = re.compile(rb"\xe2[\x80\x81][\x80-\xbf]|\xc2[\xa0-\xbf]|\xe3\x80[\x80-\x9f]|\xc3[\x97\xb7]")
+#: Characters of scripts that put no blanks between words (kana, Han, Thai, Lao, Myanmar, Khmer).
+_UNPARTED = re.compile(rb"\xe3(?:[\x81-\x83]|[\x90-\xbf])[\x80-\xbf]|[\xe4-\xe9][\x80-\xbf]{2}|\xf0[\xa0-\xb3][\x80-\xbf]{2}|\xe0[\xb8-\xbb][\x80-\xbf]|\xe1(?:[\x80-\x82]|[\x9e\x9f])[\x80-\xbf]")
+_MAYBE = re.compile(rb"[\xe0\xe1\xe3-\xe9\xf0]")
+
+
+def unparted(word: str) -> bool:
+    """Whether a word of plain() is one character of a script without blanks."""
+    return not word.isascii() and _UNPARTED.fullmatch(word.encode("latin-1")) is not None
 
 
 def plain(text: str) -> str:
     """Lower-case words between single spaces, with a space before and after, punctuation
-    dropped.  The result holds one character per UTF-8 byte: it is for matching only."""
+    dropped.  In scripts that put no blanks between words each character is a word.  The result holds
+    one character per UTF-8 byte: it is for matching only."""
     b = text.lower().encode("utf-8", "replace") if not text.isascii() else text.encode()
     b = b.translate(_ASCII)
+    if _MAYBE.search(b):
+        b = _UNPARTED.sub(rb" \g<0> ", b)
     if b"\xc2" in b or b"\xe2" in b or b"\xe3" in b or b"\xc3\x97" in b or b"\xc3\xb7" in b:
         b = _WIDE.sub(b" ", b)
     return " " + b" ".join(b.split()).decode("latin-1") + " "
@@ -64,7 +75,8 @@ def plain_spans(text: str) -> tuple[str, list[int], list[int]]:
     """plain(text), and for each of its characters where in text it starts and ends."""
     out, start, end = [" "], [0], [0]
     for i, ch in enumerate(text):
-        for c in _WIDE.sub(b" ", ch.lower().encode("utf-8", "replace").translate(_ASCII)).decode("latin-1"):
+        b = ch.lower().encode("utf-8", "replace").translate(_ASCII)
+        for c in _WIDE.sub(b" ", b if ch.isascii() else _UNPARTED.sub(rb" \g<0> ", b)).decode("latin-1"):
             if c.isascii() and c.isspace():
                 if out[-1] != " ":
                     out.append(" "), start.append(i), end.append(i)

@@ -1,7 +1,8 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
 Test items are normalised to plain words; every run of WINDOW words (the whole item where it is
-shorter) is a pattern of one automaton, which each executor builds once from the broadcast items.
+shorter) is a pattern of one automaton, which each Python worker builds once from the broadcast items.
+In scripts that put no blanks between words, characters are words that count half.
 Each text is normalised the same way and scanned once.  Only texts with a hit are normalised a
 second time, with offsets, to say where in the original the passage stands.
 """
@@ -15,10 +16,10 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import by_batch, need, plain, plain_spans, read
+from .common import by_batch, need, plain, plain_spans, read, unparted
 
-#: Words of a pattern at most, and of an item at least: one without a word has nothing to look for.
-WINDOW, LEAST = 8, 1
+#: Words of a pattern.
+WINDOW = 8
 #: The automaton lives in every executor, so items are refused beyond this size.
 MAX_ITEM_BYTES = 256_000_000
 
@@ -31,11 +32,25 @@ def patterns(items: list[tuple[int, str]], window: int = WINDOW) -> dict[str, li
     out: dict[str, list[int]] = defaultdict(list)
     for item, text in items:
         words = plain(text).split()
-        if len(words) >= LEAST:
-            for k in range(max(1, len(words) - window + 1)):
-                own = out[" " + " ".join(words[k : k + window]) + " "]
-                if item not in own:
-                    own.append(item)
+        for a, b in windows([0.5 if unparted(w) else 1 for w in words], window):
+            own = out[" " + " ".join(words[a:b]) + " "]
+            if item not in own:
+                own.append(item)
+    return out
+
+
+def windows(weights: list[float], window: int) -> list[tuple[int, int]]:
+    """The shortest runs that weigh ``window`` and end no earlier than the one before; the whole where
+    it weighs less; none if there is nothing."""
+    out, b, weight = [], 0, 0.0
+    for a, own in enumerate(weights):
+        while weight < window and b < len(weights):
+            weight += weights[b]
+            b += 1
+        if weight < window:
+            return out or [(0, len(weights))]
+        out.append((a, b))
+        weight -= own
     return out
 
 
@@ -89,11 +104,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     """(doc_id, item_id, start, end) for each passage of a test item in a document; offsets count
     the characters of the original text, end is past the last.
 
-    Case, punctuation and white space don't matter.  An item of fewer words than the window
+    Case, punctuation and white space don't matter.  A match has to begin and end with a word.  An item of fewer words than the window
     is looked for whole, however short: a one-word answer is found wherever the word stands.  Rows
-    without doc_id or text, and items without id, text or a word, are left out; empty texts have no passage; an item that is there twice
-    counts once; repeated documents are reported each; other columns are ignored; with an empty
-    table on either side there are no rows.
+    without doc_id or text, and items without id, text or a word, are left out; empty texts have no
+    passage; an item that is there twice counts once; repeated documents are reported each; other
+    columns are ignored; with an empty table on either side there are no rows.
     """
     get = _shared(docs, benchmark, window)
 
@@ -108,8 +123,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows whose text has no passage of a test item, all columns as they were.  Rows without
-    text stay.  Short items count as in contamination(), so a benchmark of answers like "yes" takes
+    text stay; a table without that column is an error.  Short items count as in contamination(), so a benchmark of answers like "yes" takes
     every text with that word; leave such items out of benchmark where that isn't wanted."""
+    need(docs, "text")
     get = _shared(docs, benchmark, window)
 
     def clean(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -121,4 +137,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """contamination() of all documents by all items."""
     return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))

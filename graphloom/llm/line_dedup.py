@@ -3,14 +3,14 @@
 A line is known by two 64-bit hashes of its trimmed text.  Per line a HyperLogLog sketch of its
 sites is built on the map side and merged by the aggregation; where the estimate is within BAND of
 the threshold the distinct sites are counted exactly.  Of a line that reaches the threshold the
-first occurrence (smallest doc_id, then position) stays, all others are removed.
+first occurrence (smallest doc_id, then hash of the text, then position) stays, all others are removed.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import free, need, read, spool
+from .common import free, need, read, spool, unspool
 
 #: Distinct sites that make a line boilerplate; width of the band that is counted exactly, as a
 #: share of the threshold; log2 of the sketch's registers (error about 1.04 / sqrt(2^LG)).
@@ -25,14 +25,16 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """(h1, h2, first) for every line on at least min_sites distinct sites."""
+    """(h1, h2, first) for every line on at least min_sites distinct sites, as a spooled table."""
     lines = _lines(docs)
-    sketched = lines.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", F.lit(LG)).alias("sketch"), F.min(F.struct("doc_id", "pos")).alias("first"))
+    sketched = lines.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", F.lit(LG)).alias("sketch"), F.min(F.struct("doc_id", "ht", "pos")).alias("first"))
     sketched = spool(sketched.select("h1", "h2", "first", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= min_sites * (1 - BAND)), "sites")
     sure = sketched.where(F.col("sites") > min_sites * (1 + BAND)).select("h1", "h2", "first")
     near = sketched.where(F.col("sites") <= min_sites * (1 + BAND))
     exact = lines.join(near.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.count_distinct("site").alias("sites")).where(F.col("sites") >= min_sites)
-    return sure.unionAll(near.select("h1", "h2", "first").join(exact.select("h1", "h2"), ["h1", "h2"], "left_semi"))
+    out = spool(sure.unionAll(near.select("h1", "h2", "first").join(exact.select("h1", "h2"), ["h1", "h2"], "left_semi")), "boilerplate")
+    unspool(sketched)
+    return out
 
 
 def strip_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
@@ -42,20 +44,23 @@ def strip_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     counts the lines taken out.  Lines are compared without blanks around them, and blank lines
     never count.  Documents without source are one site.  A null text stays null with removed 0;
     rows without doc_id keep their text and aren't counted; rows equal in doc_id and text count as
-    one document; other columns are carried along.
+    one document, rows of one doc_id with other texts as one each; other columns are carried along.
     """
     counted = need(docs, "doc_id", "text", "source").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    bad = spool(boilerplate(counted, min_sites), "boilerplate")
-    hits = _lines(counted).join(bad, ["h1", "h2"]).where("NOT (doc_id <=> first.doc_id AND pos <=> first.pos)")
+    bad = boilerplate(counted, min_sites)
+    hits = _lines(counted).join(bad, ["h1", "h2"]).where("NOT (doc_id <=> first.doc_id AND ht <=> first.ht AND pos <=> first.pos)")
     hits = hits.groupBy("doc_id", "ht").agg(F.collect_set("pos").alias("gone"))
     ht, gone, removed, hit_id, hit_ht = (free(docs, n) for n in ("ht", "gone", "removed", "hit_id", "hit_ht"))
     hits = hits.select(F.col("doc_id").alias(hit_id), F.col("ht").alias(hit_ht), F.col("gone").alias(gone))
     joined = docs.withColumn(ht, F.xxhash64("text")).join(hits, (F.col("doc_id") == F.col(hit_id)) & (F.col(ht) == F.col(hit_ht)), "left").drop(hit_id, hit_ht, ht)
-    text = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
+    # Within one array of all lines, so that they are cut once; the rest of the positions comes by hashing.
+    kept = lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)), lambda i: F.get(lines, i))
+    text = F.get(F.transform(F.array(F.split("text", "\n")), lambda lines: F.array_join(kept(lines), "\n")), F.lit(0))
     return joined.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(text)).withColumn(removed, F.coalesce(F.size(F.when(F.col(gone).isNotNull(), F.col(gone)).otherwise(F.array())), F.lit(0))).drop(gone)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """strip_boilerplate() of all documents."""
     return strip_boilerplate(need(read(spark, sf_dir, "documents"), "doc_id", "text", "source")).select("doc_id", "text", F.col("removed").cast("int").alias("removed"))
 
 

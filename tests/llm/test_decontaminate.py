@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from graphloom.llm import decontaminate as D
 from graphloom.llm.common import plain, plain_spans
 from tables import as_set, docs
@@ -20,7 +22,7 @@ def brute(text, items, window=D.WINDOW):
     own, found = words(text), set()
     for item, t in items:
         w = words(t or "")
-        if item is None or len(w) < D.LEAST:
+        if item is None or not w:
             continue
         n = min(window, len(w))
         grams = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
@@ -95,3 +97,22 @@ def test_benchmarks_do_not_mix_in_a_worker(spark):
     for k in range(4):
         assert D.contamination(table, bench(spark, [(k, "short five word item here")])).first().item_id == k
         assert D.contamination(table, bench(spark, [(k, "something else that is not there")])).count() == 0
+
+
+def test_scripts_without_blanks(spark):
+    b = bench(spark, [(1, "世界で一番面積の大きい国の首都はどこですか"), (2, "กรุงเทพมหานครเป็นเมืองหลวง"), (3, "首都は東京")])
+    table = docs(spark, [(1, "問題：「世界で一番面積の大きい国の首都はどこですか」という。"), (2, "x กรุงเทพมหานครเป็นเมืองหลวง y"), (3, "一番面積の大きい国の人口"), (4, "日本の首都は東京だ"), (5, "世界で一番高い山")])
+    got = {(r.doc_id, r.item_id): (r.start, r.end) for r in D.contamination(table, b).collect()}
+    assert got == {(1, 1): (4, 25), (2, 2): (2, 28), (4, 3): (3, 8)}
+    assert {r.doc_id for r in D.drop_contaminated(table, b).collect()} == {3, 5}
+
+
+def test_windows_by_weight():
+    assert D.windows([1] * 4, 3) == [(0, 3), (1, 4)] and D.windows([1, 1], 3) == [(0, 2)] and D.windows([], 3) == []
+    assert D.windows([0.5] * 5, 2) == [(0, 4), (1, 5)] and D.windows([1, 0.5, 0.5, 1], 2) == [(0, 3), (1, 4)]
+    assert D.windows([0.5, 1, 1, 0.5], 2) == [(0, 3), (1, 3)]
+
+
+def test_a_table_without_text_is_an_error(spark):
+    with pytest.raises(ValueError):
+        D.drop_contaminated(docs(spark).drop("text"), bench(spark))

@@ -56,3 +56,16 @@ def test_awkward_rows(spark):
 def test_documents_without_source_are_one_site(spark):
     rows = [(i, None, "shared line") for i in range(20)]
     assert L.strip_boilerplate(spark.createDataFrame(rows, "doc_id long, source string, text string"), 2).where("removed > 0").count() == 0
+
+
+def test_rows_of_one_id_with_other_texts(spark):
+    rows = [(1, "a", "menu\nA"), (1, "b", "menu\nB"), (2, "c", "menu\nC"), (2, "c", "menu\nC")]
+    out = L.strip_boilerplate(spark.createDataFrame(rows, "doc_id long, source string, text string"), 3).collect()
+    kept = [r.text for r in out if r.text.startswith("menu")]
+    assert len(out) == 4 and len(kept) == 1 and kept[0][-1] in "AB"
+
+
+def test_many_lines_in_linear_time(spark):
+    rows = [(i, f"s{i}", "\n".join(f"line {k}" for k in range(200_000))) for i in range(3)]
+    got = {r.doc_id: (r.text, r.removed) for r in L.strip_boilerplate(spark.createDataFrame(rows, "doc_id long, source string, text string"), 3).collect()}
+    assert got == {0: (rows[0][2], 0), 1: ("", 200_000), 2: ("", 200_000)}
