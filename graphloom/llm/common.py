@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.shared import release, shared_dir, spool, unspool  # noqa: F401
 
@@ -30,6 +30,19 @@ def free(df: DataFrame, name: str) -> str:
     return name
 
 
+def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
+    """(doc_id, label, text): different texts of labelled documents, at most ``rows`` of each of the
+    labels 0 and 1, taken by a hash: however often an id, a label or a text is there, no more rows
+    come out."""
+    known = need(labels, "doc_id", label).where(f"doc_id IS NOT NULL AND {label} IN (0, 1)").distinct()
+    picked = [known.where(F.col(label) == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for k in (0, 1)]
+    picked = picked[0].unionAll(picked[1]).withColumnRenamed("doc_id", "id")
+    found = need(docs, "doc_id", "text").where("text IS NOT NULL").join(F.broadcast(picked), F.col("doc_id") == F.col("id"))
+    each = found.groupBy(label, "text").agg(F.min("doc_id").alias("doc_id"))
+    out = [each.where(F.col(label) == k).orderBy(F.xxhash64("doc_id"), F.xxhash64("text"), "text").limit(rows) for k in (0, 1)]
+    return out[0].unionAll(out[1]).select("doc_id", label, "text")
+
+
 def by_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch | None], rows: int = 1024) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For mapInArrow: f over slices of a bounded number of rows, so that a batch of very long
     texts doesn't need all its intermediate arrays at once."""

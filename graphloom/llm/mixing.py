@@ -1,16 +1,17 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
 Documents are put into shards by a seeded hash.  Within a shard and source, in seeded order, their
-tokens are cut into blocks of equal size; a document belongs to the block in which it begins.  Each
-shard has a budget of blocks, whose seats go to sources by the highest quotients
-weight / (2 * seats + 1), never more than a source has: integer quotas per shard.  Of each source's
-blocks a seeded selection fills the quota.  A shard holds a fixed number of documents on average,
-so all of this stays local however large the corpus is.
+tokens are cut into blocks of equal size; a document belongs to the block in which it begins, and that
+block is drawn together with those after it in which none begins.  Each shard has a budget of blocks,
+whose seats go to sources by the highest quotients weight / (2 * seats + 1), never more than a source
+has: integer quotas per shard.  Of each source's blocks a seeded selection fills the quota, as near as
+whole documents allow.  A shard holds a fixed number of documents on average, so all of this stays
+local however large the corpus is.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import free, need, read
 
@@ -20,70 +21,89 @@ BLOCK_TOKENS, SHARD_DOCS, BUDGET, SEED = 4096, 8192, 0.5, 17
 WEIGHTS = {"src1": 2.0, "src2": 0.5}
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: float = BUDGET, block_tokens: int = BLOCK_TOKENS, shard_docs: int = SHARD_DOCS, seed: int = SEED) -> DataFrame:
+#: Scripts that put no blanks between words: each of their characters is a token.
+UNPARTED = ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")
+
+
+def n_tokens(text: str) -> Column:
+    """Runs of non-blank characters, and characters of scripts without blanks."""
+    some = "".join(f"\\p{{Is{x}}}" for x in UNPARTED)
+    return F.coalesce(F.regexp_count(text, F.lit(f"[{some}]|[^\\s{some}]+")), F.lit(0)).cast("long")
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: float = BUDGET, block_tokens: int = BLOCK_TOKENS, shard_docs: int = SHARD_DOCS, seed: int = SEED, counted: str | None = None) -> DataFrame:
     """The rows of the selected blocks, with shard, block and tokens added (names free of clashes
     with the table's own).
 
-    Tokens are runs of non-blank characters.  A null source is the source ''.  A null or empty
-    text has no tokens and goes with the block in which it falls; a document longer than a block
-    fills those that it overlaps but is placed by where it begins.  Repeated rows are documents of
+    Tokens are those of n_tokens(), or of the column ``counted`` of the table, where a tokenizer has
+    counted them (null is 0).  A null source is the source ''.  A null or empty text has no tokens and
+    goes with the block in which it falls.  Order and shard come from a hash of doc_id and text, so
+    rows without doc_id or of one doc_id spread over all shards; rows equal in both are documents of
     their own, next to each other.  A weight of 0 excludes a source.  An empty table gives no rows.
     """
     weights = WEIGHTS if weights is None else weights
+    need(docs, "doc_id", "text", "source")
     shard, block, tokens = (free(docs, n) for n in ("shard", "block", "tokens"))
-    src, order, blocks = (free(docs, n) for n in ("own_source", "own_order", "chosen_blocks"))
-    placed = docs.withColumns(
-        {
-            tokens: F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0)).cast("long"),
-            src: F.coalesce("source", F.lit("")),
-            order: F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))),
-        }
-    ).withColumn(shard, F.conv(F.substring(order, 1, 8), 16, 10).cast("long") % F.lit(docs.count() // shard_docs + 1))
-    sizes = placed.groupBy(shard, src).agg(F.sum(tokens).alias("t"))
-    chosen = choose(sizes.toDF("shard", "src", "t"), weights, budget, block_tokens, seed).toDF(shard, src, blocks)
-    before = Window.partitionBy(shard, src).orderBy(order, F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn(block, F.floor(F.coalesce(F.sum(tokens).over(before), F.lit(0)) / block_tokens).cast("long"))
-    kept = placed.join(chosen, [shard, src]).where(F.array_contains(blocks, F.col(block)))
-    return kept.select(*docs.columns, shard, block, tokens)
-
-
-def choose(sizes: DataFrame, weights: dict[str, float], budget: float, block_tokens: int, seed: int) -> DataFrame:
-    """From (shard, src, t tokens): (shard, src, list of the blocks selected)."""
+    src, order = (free(docs, n) for n in ("own_source", "own_order"))
+    mark = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
+    placed = docs.withColumns({tokens: F.coalesce(F.col(counted).cast("long"), F.lit(0)) if counted else n_tokens("text"), src: F.coalesce("source", F.lit("")), order: F.md5(mark)})
+    placed = placed.withColumn(shard, F.conv(F.substring(order, 1, 8), 16, 10).cast("long") % F.lit(docs.count() // shard_docs + 1))
+
+    def blocks(df: DataFrame) -> DataFrame:
+        before = Window.partitionBy(shard, src).orderBy(order, tokens).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(block, F.floor(F.coalesce(F.sum(tokens).over(before), F.lit(0)) / block_tokens).cast("long"))
+
+    lean = blocks(placed.select(shard, src, order, tokens)).groupBy(shard, src, block).agg(F.sum(tokens).alias("t"))
+    chosen = choose(lean.toDF("shard", "src", "block", "t"), weights, budget, block_tokens, seed).toDF(shard, src, block)
+    return blocks(placed).join(chosen, [shard, src, block]).select(*docs.columns, shard, block, tokens)
+
+
+def choose(begun: DataFrame, weights: dict[str, float], budget: float, block_tokens: int, seed: int) -> DataFrame:
+    """From (shard, src, block in which documents begin, their tokens t): (shard, src, block) of
+    those selected."""
     weight = F.lit(1.0)
     for name, w in weights.items():
         weight = F.when(F.col("src") == name, F.lit(float(w))).otherwise(weight)
-    blocks = F.greatest(F.ceil(F.col("t") / block_tokens), F.lit(1)).cast("long")
-    seats = sizes.withColumns({"weight": weight, "n": blocks}).where("weight > 0").select("shard", "src", "weight", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("seat"))
     shard, source = Window.partitionBy("shard"), Window.partitionBy("shard", "src")
+    last = F.greatest(F.ceil(F.sum("t").over(source) / block_tokens).cast("long"), F.col("block") + 1)
+    units = begun.withColumn("span", F.coalesce(F.lead("block").over(source.orderBy("block")), last) - F.col("block"))
+    sizes = units.groupBy("shard", "src").agg(F.sum("span").alias("n")).withColumn("weight", weight).where("weight > 0")
+    seats = sizes.select("shard", "src", "weight", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("seat"))
     seats = seats.withColumn("rank", F.row_number().over(shard.orderBy((F.col("weight") / (2 * F.col("seat") + 1)).desc(), "src", "seat")))
     seats = seats.withColumn("won", F.col("rank") <= F.floor(F.count(F.lit(1)).over(shard) * F.lit(float(budget)) + 0.5))
-    lot = F.md5(F.concat_ws(":", F.lit(str(seed)), "shard", "src", "seat"))
-    seats = seats.withColumns({"quota": F.count_if("won").over(source), "drawn": F.row_number().over(source.orderBy(lot, "seat"))})
-    return seats.where("drawn <= quota").groupBy("shard", "src").agg(F.collect_list("seat").alias("blocks"))
+    quotas = seats.groupBy("shard", "src").agg(F.count_if("won").alias("quota"))
+    lot = F.md5(F.concat_ws(":", F.lit(str(seed)), "shard", "src", "block"))
+    drawn = units.withColumn("to", F.sum("span").over(source.orderBy(lot, "block")))
+    return drawn.join(quotas, ["shard", "src"]).where("2 * to - span <= 2 * quota").select("shard", "src", "block")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mix() of all documents, without their texts."""
     return mix(need(read(spark, sf_dir, "documents"), "doc_id", "text", "source")).drop("text")
 
 
 _WEIGHT = "CASE src " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in WEIGHTS.items()) + " ELSE 1::DOUBLE END"
-SQL_TEMPLATE = f"""
+_SCRIPTS = "".join(f"\\p{{{x}}}" for x in UNPARTED)
+SQL = f"""
 WITH own AS (
-  SELECT doc_id, source, text, coalesce(source, '') AS src, coalesce(len(regexp_extract_all(text, '\\S+')), 0) AS tokens,
-         md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS o FROM {{table}}),
+  SELECT doc_id, source, text, coalesce(source, '') AS src, coalesce(len(regexp_extract_all(text, '[{_SCRIPTS}]|[^\\s{_SCRIPTS}]+')), 0) AS tokens,
+         md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS o FROM documents),
 sharded AS (SELECT *, CAST('0x' || substr(o, 1, 8) AS BIGINT) % ((SELECT count(*) FROM own) // {SHARD_DOCS} + 1) AS shard FROM own),
 placed AS (
-  SELECT *, CAST(floor(coalesce(sum(tokens) OVER (PARTITION BY shard, src ORDER BY o, text
+  SELECT *, CAST(floor(coalesce(sum(tokens) OVER (PARTITION BY shard, src ORDER BY o, tokens
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / {BLOCK_TOKENS}) AS BIGINT) AS block FROM sharded),
-sizes AS (SELECT shard, src, greatest(CAST(ceil(sum(tokens) / {BLOCK_TOKENS}) AS BIGINT), 1) AS n FROM sharded GROUP BY ALL),
+begun AS (SELECT shard, src, block, sum(tokens) AS t FROM placed GROUP BY ALL),
+ends AS (
+  SELECT *, lead(block) OVER (PARTITION BY shard, src ORDER BY block) AS next, ceil(sum(t) OVER (PARTITION BY shard, src) / {BLOCK_TOKENS}) AS n FROM begun),
+units AS (SELECT shard, src, block, CAST(coalesce(next, greatest(n, block + 1)) AS BIGINT) - block AS span FROM ends),
+sizes AS (SELECT shard, src, CAST(sum(span) AS BIGINT) AS n FROM units GROUP BY ALL),
 seats AS (SELECT shard, src, {_WEIGHT} AS weight, seat FROM (SELECT *, unnest(range(0, n)) AS seat FROM sizes)),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY shard ORDER BY weight / (2 * seat + 1) DESC, src, seat)
     <= floor(count(*) OVER (PARTITION BY shard) * {BUDGET} + 0.5) AS won FROM seats WHERE weight > 0),
+quotas AS (SELECT shard, src, count(*) FILTER (WHERE won) AS quota FROM ranked GROUP BY ALL),
 drawn AS (
-  SELECT *, count(*) FILTER (WHERE won) OVER (PARTITION BY shard, src) AS quota,
-    row_number() OVER (PARTITION BY shard, src ORDER BY md5('{SEED}:' || shard || ':' || src || ':' || seat), seat) AS r FROM ranked)
-SELECT p.doc_id, p.source, p.shard, p.block, p.tokens FROM placed p JOIN drawn d
-  ON p.shard = d.shard AND p.src = d.src AND p.block = d.seat WHERE d.r <= d.quota
+  SELECT u.*, sum(span) OVER (PARTITION BY shard, src ORDER BY md5('{SEED}:' || shard || ':' || src || ':' || block), block) AS upto FROM units u)
+SELECT p.doc_id, p.source, p.shard, p.block, p.tokens FROM placed p JOIN drawn d ON p.shard = d.shard AND p.src = d.src AND p.block = d.block
+  JOIN quotas q ON q.shard = d.shard AND q.src = d.src WHERE 2 * d.upto - d.span <= 2 * q.quota
 """
-SQL = SQL_TEMPLATE.format(table="documents")

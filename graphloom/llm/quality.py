@@ -15,9 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import by_batch, need, read
+from .common import by_batch, labelled, need, read
 
-#: Labelled documents of each class that are fitted on and vote, at most; dimensions of the space;
+#: Different labelled texts of each class that are fitted on and vote, at most; dimensions of the space;
 #: neighbours that vote; share of the votes that keeps a document.
 FIT_ROWS, DIMENSIONS, NEIGHBOURS, KEEP = 1024, 48, 15, 0.5
 _HASHED = 2048
@@ -81,17 +81,13 @@ class Space:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, dimensions: int = DIMENSIONS) -> Space | None:
     """The space of at most ``rows`` labelled documents of each class, taken by a hash of their
-    ids; None if there aren't labelled rows of both classes."""
-    known = need(labels, "doc_id", "quality").where("doc_id IS NOT NULL AND quality IN (0, 1)").distinct()
-    picked = [known.where(F.col("quality") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for k in (0, 1)]
-    picked = picked[0].unionAll(picked[1]).withColumnRenamed("doc_id", "id")
-    own = need(docs, "doc_id", "text").where("text IS NOT NULL")
+    ids; equal texts count once; None if there aren't labelled rows of both classes."""
 
     def count(b: pa.RecordBatch) -> pa.RecordBatch:
         x = features(b.column(2).to_pylist())
         return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], ["doc_id", "quality", "x"])
 
-    found = own.join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select("doc_id", "quality", "text").mapInArrow(by_batch(count, 256), "doc_id long, quality int, x binary").collect()
+    found = labelled(docs, labels, "quality", rows).mapInArrow(by_batch(count, 256), "doc_id long, quality int, x binary").collect()
     found.sort(key=lambda r: (r.doc_id, bytes(r.x)))
     if len({r.quality for r in found}) < 2:
         return None
@@ -138,7 +134,8 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows that quality() keeps, all columns as they were."""
+    """The rows that quality() keeps, all columns as they were; a table without text is an error."""
+    need(docs, "text")
     score = _scorer(docs, fit(docs, labels))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -149,4 +146,5 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """quality() of all documents."""
     return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))

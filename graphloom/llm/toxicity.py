@@ -18,13 +18,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import by_batch, need, plain, read, spool, unspool
+from .common import by_batch, labelled, need, plain, read, spool, unspool
 
 #: Weights of English terms that hold without any labelled row.
 SEEDS = {w: 4.0 for w in ("idiot", "moron", "stupid", "worthless", "pathetic", "scum", "trash", "loser", "disgusting", "clown")}
 #: Phrases in which a term means no harm.
 EXCEPTIONS = ("trash can", "trash bin", "class clown", "clown fish", "pathetic fallacy", "loser bracket", "rodeo clown")
-#: Labelled rows of each class that the lexicon is fitted on, at most.
+#: Different labelled texts of each class that the lexicon is fitted on, at most.
 FIT_ROWS = 4000
 #: Documents, share of the toxic ones and log-odds that a learned term needs; letters of a beginning.
 LEAST_DOCS, LEAST_SHARE, LEAST_ODDS, STEMS = 3, 0.02, 3.0, (5, 6, 7)
@@ -90,11 +90,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[dict[
     """(lexicon, threshold) from at most ``rows`` labelled documents of each class, taken by a
     hash of their ids; equal texts count once, or copies of one document would make its words
     telling.  Without labelled rows of both classes: the seeds and THRESHOLD."""
-    known = need(labels, "doc_id", "toxic").where("doc_id IS NOT NULL AND toxic IN (0, 1)").distinct()
-    picked = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for k in (0, 1)]
-    picked = picked[0].unionAll(picked[1]).withColumnRenamed("doc_id", "id")
-    own = need(docs, "doc_id", "text").where("text IS NOT NULL")
-    sample = spool(own.join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select("toxic", "text").distinct(), "toxic-sample")
+    sample = spool(labelled(docs, labels, "toxic", rows).select("toxic", "text"), "toxic-sample")
     n = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     seeds = {fold(w): v for w, v in SEEDS.items()}
     if len(n) < 2:
@@ -160,5 +156,6 @@ def toxicity(docs: DataFrame, lexicon: dict[str, float], threshold: float) -> Da
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """toxicity() of all documents by the lexicon fitted on the labelled ones."""
     docs = read(spark, sf_dir, "documents")
     return toxicity(docs, *fit(docs, read(spark, sf_dir, "labels")))

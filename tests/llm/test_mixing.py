@@ -20,24 +20,32 @@ def quotas(sizes: dict[str, int], weights: dict[str, float], seats: int) -> Coun
 
 
 def brute(rows, weights, budget, block, shard_docs, seed):
+    """rows: (id, source, tokens), the text being that many words."""
     shards = len(rows) // shard_docs + 1
     groups = defaultdict(list)
     for i, source, n in rows:
-        o = md5(f"{seed}:{i}".encode()).hexdigest()
+        o = md5(f"{seed}:{i}:{md5(('w ' * n).encode()).hexdigest()}".encode()).hexdigest()
         groups[int(o[:8], 16) % shards, source].append((o, i, n))
-    placed, sizes = {}, defaultdict(dict)
+    placed, units = {}, defaultdict(dict)
     for (shard, source), own in groups.items():
-        total = 0
+        total, begins = 0, []
         for _, i, n in sorted(own):
             placed[i] = shard, source, total // block
+            begins.append(total // block)
             total += n
-        sizes[shard][source] = max(1, -(-total // block))
+        begins = sorted(set(begins))
+        ends = [*begins[1:], max(-(-total // block), begins[-1] + 1)]
+        units[shard][source] = {b: e - b for b, e in zip(begins, ends)}
     chosen = set()
-    for shard, by in sizes.items():
-        by = {s: n for s, n in by.items() if weights.get(s, 1) > 0}
-        for source, q in quotas(by, weights, int(sum(by.values()) * budget + 0.5)).items():
-            lots = sorted(range(by[source]), key=lambda b: md5(f"{seed}:{shard}:{source}:{b}".encode()).hexdigest())
-            chosen |= {(shard, source, b) for b in lots[:q]}
+    for shard, by in units.items():
+        by = {s: u for s, u in by.items() if weights.get(s, 1) > 0}
+        sizes = {s: sum(u.values()) for s, u in by.items()}
+        for source, q in quotas(sizes, weights, int(sum(sizes.values()) * budget + 0.5)).items():
+            filled = 0
+            for b in sorted(by[source], key=lambda b: md5(f"{seed}:{shard}:{source}:{b}".encode()).hexdigest()):
+                filled += by[source][b]
+                if filled - by[source][b] / 2 <= q:
+                    chosen.add((shard, source, b))
     return {i: p for i, p in placed.items() if p in chosen}
 
 
@@ -70,3 +78,21 @@ def test_equals_sql_with_many_small_shards(spark, duck, sf_dir, monkeypatch):
     df = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     sql = M.SQL.replace(f"// {M.SHARD_DOCS} ", "// 20 ").replace(f"/ {M.BLOCK_TOKENS}", "/ 500")
     assert_same(M.mix(df, block_tokens=500, shard_docs=20).drop("text"), duck, sql)
+
+
+@pytest.mark.parametrize("budget", [0.1, 0.5, 0.9])
+def test_quotas_are_met_where_documents_are_longer_than_blocks(spark, budget):
+    df = spark.createDataFrame([(i, "w " * 20_000, "s0") for i in range(40)], "doc_id long, text string, source string")
+    assert abs(M.mix(df, {}, budget).count() - 40 * budget) <= 2
+
+
+def test_rows_without_id_spread_over_the_shards(spark):
+    df = spark.createDataFrame([(None if i % 3 == 0 else i, f"w {i}", "s") for i in range(600)], "doc_id long, text string, source string")
+    n = Counter(r.shard for r in M.mix(df, {}, 1.0, shard_docs=60).collect())
+    assert len(n) == 11 and max(n.values()) < 90 and sum(n.values()) == 600
+
+
+def test_tokens_of_scripts_without_blanks_and_of_a_column(spark):
+    df = spark.createDataFrame([(1, "東京は大きい city", "s", 70), (2, "กรุงเทพ", "s", None)], "doc_id long, text string, source string, n long")
+    assert {r.doc_id: r.tokens for r in M.mix(df, {}, 1.0).collect()} == {1: 7, 2: 7}
+    assert {r.doc_id: r.tokens for r in M.mix(df, {}, 1.0, counted="n").collect()} == {1: 70, 2: 0}

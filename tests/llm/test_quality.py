@@ -58,3 +58,10 @@ def test_awkward_rows(spark):
     out = Q.keep_good(table, known)
     assert out.columns == table.columns and out.count() == sum(r.keep for r in rows)
     assert Q.quality(table.limit(0), known).count() == 0 and Q.keep_good(table.limit(0), known).count() == 0
+
+
+def test_repeated_rows_do_not_exceed_the_bound(spark):
+    rows = [(1, "good words of a good text")] * 2000 + [(2, "$$$ !!! $$$")] * 2000 + [(3, f"another good text of number {k}") for k in range(2000)]
+    known = labels(spark, [(1, 1, 0), (2, 0, 0), (3, 1, 0)] * 5)
+    space = Q.fit(docs(spark, rows), known, rows=50)
+    assert sorted(np.bincount(space.labels.astype(int))) == [1, 50]
