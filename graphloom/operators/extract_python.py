@@ -1,9 +1,10 @@
 """Definitions and references of Python files.
 
-Two passes over the files, each one mapInArrow.  The first emits what a file defines.  What its
-imports mean depends on all other files, so the driver of the second pass is a join: import requests
-meet the modules by path suffix, and each file gets the symbols of the modules that it imports as its
-environment.  The second pass then resolves names with nothing but the file and that environment.
+Two passes over the files, each one mapInArrow that parses a file once.  The first emits what a file
+defines and what it asks of others: the modules it imports and the names in them that it uses.  What
+those are is found by joins: modules by path suffix, names by their ids, so a file gets no more than it
+asked for.  The second pass then resolves references with nothing but the file and those answers.
+Trees are walked with a stack of their own, so no depth of nesting is too deep.
 """
 
 from __future__ import annotations
@@ -15,12 +16,13 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from ..functions.text import relative_module
 from ..schema import FRAGMENT, allowed
+from ..sources.shared import spool
 
 #: Logical edges of the language and what they are in the graph.
 EDGE_NAMES = {
@@ -91,9 +93,9 @@ def _lines(node: ast.AST) -> dict:
     return {"line_start": node.lineno, "line_end": node.end_lineno} if hasattr(node, "lineno") else {}
 
 
-def definitions(path: str, text: str) -> Fragment:
+def definitions(path: str, text: str, tree: ast.Module | None = None) -> Fragment:
     """First pass: files, classes, functions, methods, variables and who defines or contains them."""
-    tree, out = ast.parse(text), Fragment(path)
+    tree, out = tree or ast.parse(text), Fragment(path)
 
     def add(kind: str, name: str, key: str, node: ast.AST, **more) -> None:
         doc = {"docstring": ast.get_docstring(node)} if isinstance(node, (*_DEF, ast.ClassDef, ast.Module)) else {}
@@ -105,52 +107,83 @@ def definitions(path: str, text: str) -> Fragment:
             add("Variable", target.id, key, node)
             out.link("defines" if kind == "File" else "contains_variable", scope, key)
 
-    def walk(node: ast.AST, scope: str, kind: str) -> None:
-        for child in ast.iter_child_nodes(node):
-            match child:
-                case ast.ClassDef(name=name):
-                    key = f"{scope}::{name}"
-                    add("Class", name, key, child)
-                    if kind == "File":
-                        out.link("defines_class", scope, key)
-                    elif kind == "Class":
-                        out.doubt("nested_class_unmodeled", name, "A class in a class has no edge", scope, "structural_violation")
-                    walk(child, key, "Class")
-                case ast.FunctionDef(name=name) | ast.AsyncFunctionDef(name=name):
-                    if kind in ("Function", "Method"):
-                        out.doubt("nested_function_unmodeled", name, "A function in a function is left out", scope)
-                        continue
-                    key, own = f"{scope}::{name}", "Method" if kind == "Class" else "Function"
-                    add(own, name, key, child, is_async=isinstance(child, ast.AsyncFunctionDef), signature=signature(child))
-                    if kind in ("File", "Class"):
-                        out.link("defines_function" if kind == "File" else "contains_method", scope, key)
-                    walk(child, key, own)
-                case ast.Assign(targets=targets):
-                    for t in targets:
-                        variable(t, child, scope, kind)
-                case ast.AnnAssign(target=t):
-                    variable(t, child, scope, kind)
-                case _:
-                    walk(child, scope, kind)
-
     add("File", path.rpartition("/")[2], path, tree, file_path=path, hash=hashlib.md5(text.encode("utf-8")).hexdigest())
-    walk(tree, path, "File")
+    todo = _below(tree, path, "File")
+    while todo:
+        node, scope, kind = todo.pop()
+        match node:
+            case ast.ClassDef(name=name):
+                key = f"{scope}::{name}"
+                add("Class", name, key, node)
+                if kind == "File":
+                    out.link("defines_class", scope, key)
+                elif kind == "Class":
+                    out.doubt("nested_class_unmodeled", name, "A class in a class has no edge", scope, "structural_violation")
+                todo += _below(node, key, "Class")
+            case ast.FunctionDef(name=name) | ast.AsyncFunctionDef(name=name):
+                if kind in ("Function", "Method"):
+                    out.doubt("nested_function_unmodeled", name, "A function in a function is left out", scope)
+                    continue
+                key, own = f"{scope}::{name}", "Method" if kind == "Class" else "Function"
+                add(own, name, key, node, is_async=isinstance(node, ast.AsyncFunctionDef), signature=signature(node))
+                if kind in ("File", "Class"):
+                    out.link("defines_function" if kind == "File" else "contains_method", scope, key)
+                todo += _below(node, key, own)
+            case ast.Assign(targets=targets):
+                for t in targets:
+                    variable(t, node, scope, kind)
+            case ast.AnnAssign(target=t):
+                variable(t, node, scope, kind)
+            case _:
+                todo += _below(node, scope, kind)
     return out
 
 
-def import_requests(path: str, text: str) -> list[tuple[str, bool]]:
-    """(path wanted, whether exactly that path) for each import statement."""
-    wanted = []
-    for node in ast.walk(ast.parse(text)):
+def _below(node: ast.AST, *more) -> list[tuple]:
+    """The children of a node for a stack, the first one on top."""
+    return [(child, *more) for child in ast.iter_child_nodes(node)][::-1]
+
+
+def _chain(node: ast.expr) -> tuple[ast.expr, list[str]]:
+    """What an attribute access begins with, and its attributes in order."""
+    names = []
+    while isinstance(node, ast.Attribute):
+        names.append(node.attr)
+        node = node.value
+    return node, names[::-1]
+
+
+def import_requests(path: str, tree: ast.Module) -> list[tuple[str, bool, list[str]]]:
+    """(path wanted, whether exactly that path, names wanted in it) for each module that is imported.  Names
+    are paths a::b: those imported from it, and the attributes of them or of the module that occur."""
+    asked: dict[tuple[str, bool], set[str]] = {}
+    bound: dict[str, list[tuple[tuple[str, bool], str]]] = {}
+    accesses = []
+    for node in ast.walk(tree):
         match node:
             case ast.Import(names=names):
-                wanted += [(a.name.replace(".", "/") + ".py", False) for a in names]
-            case ast.ImportFrom(module=module, level=level) if level:
-                if (guess := relative_module(path, level, module)) is not None:
-                    wanted.append((guess + ".py", True))
-            case ast.ImportFrom(module=module) if module:
-                wanted.append((module.replace(".", "/") + ".py", False))
-    return wanted
+                for a in names:
+                    request = a.name.replace(".", "/") + ".py", False
+                    asked.setdefault(request, set())
+                    bound.setdefault(a.asname or a.name, []).append((request, ""))
+            case ast.ImportFrom(module=module, level=level, names=names):
+                if level:
+                    guess = relative_module(path, level, module)
+                    request = None if guess is None else (guess + ".py", True)
+                else:
+                    request = ((module or "").replace(".", "/") + ".py", False)
+                if request is not None:
+                    asked.setdefault(request, set()).update(a.name for a in names)
+                    for a in names:
+                        bound.setdefault(a.asname or a.name, []).append((request, a.name))
+            case ast.Attribute():
+                accesses.append(node)
+    for node in accesses:
+        root, names = _chain(node)
+        if isinstance(root, ast.Name):
+            for request, name in bound.get(root.id, ()):
+                asked[request].add("::".join([name, *names] if name else names))
+    return [(*request, sorted(names)) for request, names in asked.items()]
 
 
 class _Scope:
@@ -174,10 +207,11 @@ _LOCAL = "\x00argument"
 def references(path: str, text: str, modules: dict[tuple[str, bool], str], known: dict[str, str], compat: bool = False) -> Fragment:
     """Second pass: imports, inheritance, decorators, calls and writes.
 
-    modules: import request -> id of the module; known: ids of those modules and their symbols with
-    their types.  compat leaves out calls on the right side of a plain assignment.
+    modules: import request -> id of the module; known: ids of those modules and of the symbols asked
+    for, with their types.  compat leaves out calls on the right side of a plain assignment.
     """
-    own = definitions(path, text)
+    tree = ast.parse(text)
+    own = definitions(path, text, tree)
     out = Fragment(path, {**known, **own.kinds})
     inside: dict[str, dict[str, str]] = {}
     for key in own.kinds:
@@ -185,20 +219,19 @@ def references(path: str, text: str, modules: dict[tuple[str, bool], str], known
         inside.setdefault(around, {})[name] = key
 
     def resolve(node: ast.expr, scope: _Scope) -> str | None:
-        match node:
-            case ast.Name(id=name):
-                return scope.find(name)
-            case ast.Attribute(value=value, attr=attr):
-                base = resolve(value, scope)
-                if base and base != _LOCAL and f"{base}::{attr}" in out.kinds:
-                    return f"{base}::{attr}"
-                if isinstance(value, ast.Name) and value.id == "self":
-                    s: _Scope | None = scope
-                    while s and out.kinds.get(s.key) != "Class":
-                        s = s.around
-                    if s and f"{s.key}::{attr}" in out.kinds:
-                        return f"{s.key}::{attr}"
-        return None
+        root, names = _chain(node)
+        if not isinstance(root, ast.Name):
+            return None
+        found = scope.find(root.id)
+        for i, name in enumerate(names):
+            owner = found if found != _LOCAL else None
+            if i == 0 and root.id == "self" and not (owner and f"{owner}::{name}" in out.kinds):
+                s: _Scope | None = scope
+                while s and out.kinds.get(s.key) != "Class":
+                    s = s.around
+                owner = s and s.key
+            found = f"{owner}::{name}" if owner and f"{owner}::{name}" in out.kinds else None
+        return found
 
     def proven(node: ast.expr, scope: _Scope) -> str | None:
         found = resolve(node, scope)
@@ -209,7 +242,7 @@ def references(path: str, text: str, modules: dict[tuple[str, bool], str], known
             if found := proven(d, scope):
                 out.link("decorates", found, key)
             else:
-                out.doubt("decorator_unknown", ast.dump(d), "The decorator isn't defined here", key)
+                out.doubt("decorator_unknown", _dumped(d), "The decorator isn't defined here", key)
 
     def imported(node: ast.Import, scope: _Scope) -> None:
         for a in node.names:
@@ -237,11 +270,9 @@ def references(path: str, text: str, modules: dict[tuple[str, bool], str], known
             else:
                 out.doubt("import_symbol_type_unknown", a.name, "The module has no such symbol", scope.key)
 
-    def walk(node: ast.AST, scope: _Scope) -> None:
-        for child in ast.iter_child_nodes(node):
-            visit(child, scope)
-
-    def visit(node: ast.AST, scope: _Scope) -> None:
+    todo = _below(tree, _Scope(path, None, dict(inside.get(path, {}))))
+    while todo:
+        node, scope = todo.pop()
         match node:
             case ast.ClassDef(name=name):
                 if (key := f"{scope.key}::{name}") in out.kinds:
@@ -250,18 +281,18 @@ def references(path: str, text: str, modules: dict[tuple[str, bool], str], known
                         if found := proven(base, scope):
                             out.link("extends", key, found)
                         else:
-                            out.doubt("inheritance_target_unproven", ast.dump(base), "The base isn't defined here", key)
-                    walk(node, _Scope(key, scope, dict(inside.get(key, {}))))
+                            out.doubt("inheritance_target_unproven", _dumped(base), "The base isn't defined here", key)
+                    todo += _below(node, _Scope(key, scope, dict(inside.get(key, {}))))
             case ast.FunctionDef(name=name) | ast.AsyncFunctionDef(name=name):
                 if (key := f"{scope.key}::{name}") in out.kinds:
                     marks(node, key, scope)
-                    walk(node, _Scope(key, scope, {**inside.get(key, {}), **{a.arg: _LOCAL for a in node.args.args}}))
+                    todo += _below(node, _Scope(key, scope, {**inside.get(key, {}), **{a.arg: _LOCAL for a in node.args.args}}))
             case ast.Call(func=func):
                 if found := proven(func, scope):
                     out.link("calls", scope.key, found, node.lineno)
                 else:
-                    out.doubt("call_target_unknown", ast.dump(func), "The target isn't defined here", scope.key)
-                walk(node, scope)
+                    out.doubt("call_target_unknown", _dumped(func), "The target isn't defined here", scope.key)
+                todo += _below(node, scope)
             case ast.Import():
                 imported(node, scope)
             case ast.ImportFrom():
@@ -271,14 +302,19 @@ def references(path: str, text: str, modules: dict[tuple[str, bool], str], known
                     if isinstance(t, ast.Name) and (found := scope.find(t.id)) and out.kinds.get(found) == "Variable":
                         out.link("writes_to", scope.key, found)
                 if not compat:
-                    visit(node.value, scope)
+                    todo.append((node.value, scope))
             case _:
-                walk(node, scope)
-
-    walk(ast.parse(text), _Scope(path, None, dict(inside.get(path, {}))))
+                todo += _below(node, scope)
     return out
 
 
+def _dumped(node: ast.expr) -> str:
+    try:
+        return ast.dump(node)
+    except RecursionError:
+        return f"<{type(node).__name__} of line {node.lineno}>"
+
+
 # ---- over DataFrames ------------------------------------------------------------------------
 
 
@@ -287,21 +323,26 @@ def _row(f: Fragment | None, log: str | None, fields: list[str]) -> dict:
     return {"nodes": nodes, "edges": f.edges if f else [], "ambiguities": f.ambiguities if f else [], "log": log}
 
 
+#: What keeps a file from being read; the others go on.
+_ERRORS = (SyntaxError, ValueError, RecursionError, MemoryError)
+
+
 def fragments(files: DataFrame) -> DataFrame:
     """First pass over (path, content): path, nodes, edges, ambiguities, log (null or the error of a
-    file that can't be parsed), wanted (import requests)."""
+    file that can't be parsed), wanted (import requests with the names asked for)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for b in batches:
             rows = []
             for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 try:
-                    rows.append({"path": path, **_row(definitions(path, text), None, fields), "wanted": [{"guess": g, "exact": e} for g, e in import_requests(path, text)]})
-                except (SyntaxError, ValueError, RecursionError) as error:
-                    rows.append({"path": path, **_row(None, str(error), fields), "wanted": []})
+                    tree = ast.parse(text)
+                    rows.append({"path": path, **_row(definitions(path, text, tree), None, fields), "wanted": [{"guess": g, "exact": e, "names": n} for g, e, n in import_requests(path, tree)]})
+                except _ERRORS as error:
+                    rows.append({"path": path, **_row(None, str(error) or type(error).__name__, fields), "wanted": []})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    ddl = f"path string, {FRAGMENT}, wanted array<struct<guess:string,exact:boolean>>"
+    ddl = f"path string, {FRAGMENT}, wanted array<struct<guess:string,exact:boolean,names:array<string>>>"
     schema = to_arrow_schema(_parse_datatype_string(ddl))
     fields = [f.name for f in schema.field("nodes").type.value_type]
     return files.where("path IS NOT NULL AND content IS NOT NULL").select("path", "content").mapInArrow(run, ddl)
@@ -318,20 +359,22 @@ def resolve_modules(requests: DataFrame, modules: DataFrame) -> DataFrame:
 
 
 def environment(first: DataFrame) -> DataFrame:
-    """(path, modules, known) for each file that imports a known module."""
-    requests = first.select("path", F.explode("wanted").alias("w")).select("path", "w.guess", "w.exact").distinct()
-    found = resolve_modules(requests, first.where("log IS NULL").select(F.col("path").alias("module")))
+    """(path, modules, known) for each file that imports a known module: which modules its requests are,
+    and the types of those of the names asked for that there are."""
+    asked = first.select("path", F.explode("wanted").alias("w")).select("path", "w.guess", "w.exact", "w.names")
+    found = resolve_modules(asked.select("path", "guess", "exact").distinct(), first.where("log IS NULL").select(F.col("path").alias("module")))
     # Ids that occur twice (a function that is defined again) have the type of the last one.
-    symbols = first.select(F.col("path").alias("module"), F.posexplode("nodes").alias("at", "n")).groupBy("module", F.col("n.id").alias("id")).agg(F.max_by("n.node_type", "at").alias("kind"))
-    symbols = symbols.groupBy("module").agg(F.collect_list(F.struct("id", "kind")).alias("symbols"))
-    met = found.join(symbols, "module")
-    return met.groupBy("path").agg(F.collect_list(F.struct("guess", "exact", "module")).alias("modules"), F.flatten(F.collect_list("symbols")).alias("known"))
+    symbols = first.select(F.posexplode("nodes").alias("at", "n")).groupBy(F.col("n.id").alias("id")).agg(F.max_by("n.node_type", "at").alias("kind"))
+    names = asked.join(found, ["path", "guess", "exact"]).select("path", F.explode(F.concat(F.array("module"), F.transform("names", lambda n: F.concat("module", F.lit("::"), n)))).alias("id")).distinct()
+    known = names.join(symbols, "id").groupBy("path").agg(F.collect_list(F.struct("id", "kind")).alias("known"))
+    modules = found.groupBy("path").agg(F.collect_list(F.struct("guess", "exact", "module")).alias("modules"))
+    return modules.join(known, "path", "left")
 
 
 def extract(files: DataFrame, compat: bool = False) -> DataFrame:
     """Both passes over (path, content): path, nodes, edges, ambiguities, log."""
-    first = fragments(files)
-    ready = first.join(files.select("path", "content"), "path").join(environment(first), "path", "left").select("path", "content", "nodes", "edges", "ambiguities", "log", "modules", "known")
+    first = spool(fragments(files), "definitions")
+    ready = first.drop("wanted").join(files.select("path", "content"), "path").join(environment(first), "path", "left").select("path", "content", "nodes", "edges", "ambiguities", "log", "modules", "known")
     ddl = f"path string, {FRAGMENT}"
     schema = to_arrow_schema(_parse_datatype_string(ddl))
 
@@ -341,18 +384,15 @@ def extract(files: DataFrame, compat: bool = False) -> DataFrame:
             for r in b.to_pylist():
                 if r["log"] is None:
                     modules = {(m["guess"], m["exact"]): m["module"] for m in r["modules"] or ()}
-                    second = references(r["path"], r["content"], modules, {k["id"]: k["kind"] for k in r["known"] or ()}, compat)
-                    r["edges"] = r["edges"] + second.edges
-                    r["ambiguities"] = r["ambiguities"] + second.ambiguities
+                    try:
+                        second = references(r["path"], r["content"], modules, {k["id"]: k["kind"] for k in r["known"] or ()}, compat)
+                        r["edges"] = r["edges"] + second.edges
+                        r["ambiguities"] = r["ambiguities"] + second.ambiguities
+                    except _ERRORS as error:
+                        r["log"] = f"references: {error or type(error).__name__}"
                     for n in r["nodes"]:
                         n["attributes"] = None
                 rows.append({k: r[k] for k in schema.names})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return ready.mapInArrow(run, ddl)
-
-
-def first_per_scope(found: DataFrame) -> DataFrame:
-    """Symbol lookup as a join result: of candidates (path, reference, depth, id) the nearest scope's."""
-    near = Window.partitionBy("path", "reference").orderBy(F.desc("depth"), "id")
-    return found.withColumn("rank", F.row_number().over(near)).where("rank = 1").drop("rank")

@@ -28,48 +28,51 @@ def schema_violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return typed.join(rules, ["type", "source_type", "target_type"], "left_anti").select("source", "target", "type", "source_type", "target_type")
 
 
-def violation_sides(violations: DataFrame) -> DataFrame:
-    """(type, source_type, target_type, side): which end of an edge type is wrong, each once."""
-    spark = violations.sparkSession
-    ends = spark.createDataFrame([(e, list(a), list(b)) for e, (a, b) in EDGE_RULES.items()], "type string, from_types array<string>, to_types array<string>")
-    met = violations.select("type", "source_type", "target_type").distinct().join(F.broadcast(ends), "type")
-    sides = F.filter(F.array(F.when(~F.array_contains("from_types", F.col("source_type")), "source"), F.when(~F.array_contains("to_types", F.col("target_type")), "target")), lambda x: x.isNotNull())
-    return met.select("type", "source_type", "target_type", F.explode(sides).alias("side"))
+def _found(df: DataFrame, *checks: tuple[str, str, Column, Column]) -> DataFrame:
+    """(severity, issue, subject) for each check (issue, severity, whether a row has it, subject), in one
+    pass over df."""
+    issues = F.filter(F.array(*(F.when(wrong, F.struct(F.lit(severity).alias("severity"), F.lit(issue).alias("issue"), subject.alias("subject"))) for issue, severity, wrong, subject in checks)), lambda x: x.isNotNull())
+    return df.select(F.explode(issues).alias("i")).select("i.*")
 
 
-def _issue(name: str, severity: str, subject: Column) -> tuple[Column, ...]:
-    return F.lit(severity).alias("severity"), F.lit(name).alias("issue"), subject.alias("subject")
+def _ends(side: int) -> Column:
+    """Edge type -> the node types it may leave (0) or reach (1)."""
+    return F.create_map(*(x for e, ends in EDGE_RULES.items() for x in (F.lit(e), F.array(*map(F.lit, ends[side])))))
 
 
 def validate(nodes: DataFrame, edges: DataFrame, ambiguities: DataFrame) -> DataFrame:
     """(severity, issue, subject): everything wrong with a graph.  One row for each wrong node, edge,
-    end of an edge or ambiguity."""
-    subject = F.concat_ws(" ", F.coalesce("source", F.lit("?")), F.coalesce("type", F.lit("?")), F.coalesce("target", F.lit("?")))
+    end of an edge or ambiguity.  Nodes and ambiguities are read once for it, edges are joined once
+    with the types of their ends."""
+    subject = F.concat_ws(" ", *(F.coalesce(c, F.lit("?")) for c in ("source", "type", "target")))
     missing = lambda c: F.col(c).isNull() | (F.col(c) == "")
-    named = ~missing("id")
-    whole = edges.where(~missing("type") & ~missing("source") & ~missing("target"))
-    known = whole.where(F.col("type").isin(*EDGE_RULES))
-    ids = nodes.where(named & ~missing("node_type"))
-    lost = orphan_edges(ids, known)
-    wrong = schema_violations(ids, known).join(violation_sides(schema_violations(ids, known)), ["type", "source_type", "target_type"])
+    named, typed = ~missing("id"), ~missing("node_type")
+    kinds = nodes.where(named & typed).groupBy("id").agg(F.coalesce(F.max_by("node_type", "seq"), F.max("node_type")).alias("kind"))
+    met = edges.select("source", "target", "type").join(kinds.toDF("source", "source_type"), "source", "left").join(kinds.toDF("target", "target_type"), "target", "left")
+    whole = ~missing("type") & ~missing("source") & ~missing("target")
+    known = whole & F.col("type").isin(*EDGE_RULES)
+    both = known & F.col("source_type").isNotNull() & F.col("target_type").isNotNull()
     required = missing("id") | F.col("kind").isNull() | F.col("reason").isNull() | F.col("confidence").isNull()
-    parts = (
-        nodes.where(~named).select(*_issue("missing node id", "error", F.coalesce("name", F.lit("?")))),
-        nodes.where(named & missing("node_type")).select(*_issue("missing node type", "error", F.col("id"))),
-        ids.where(~F.col("node_type").isin(*NODE_TYPES)).select(*_issue("unknown node type", "error", F.col("id"))),
-        edges.where(missing("type") | missing("source") | missing("target")).select(*_issue("malformed edge", "error", subject)),
-        whole.where(~F.col("type").isin(*EDGE_RULES)).select(*_issue("unknown edge type", "error", subject)),
-        lost.where("side = 'source'").select(*_issue("orphan source", "error", subject)),
-        lost.where("side = 'target'").select(*_issue("orphan target", "error", subject)),
-        wrong.where("side = 'source'").select(*_issue("source type not allowed", "error", subject)),
-        wrong.where("side = 'target'").select(*_issue("target type not allowed", "error", subject)),
-        ambiguities.where(required).select(*_issue("malformed ambiguity", "error", F.coalesce("id", F.lit("?")))),
-        ambiguities.where(~required & ~F.col("confidence").isin(*CONFIDENCES)).select(*_issue("unusual confidence", "warning", F.col("id"))),
+    return (
+        _found(
+            nodes,
+            ("missing node id", "error", ~named, F.coalesce("name", F.lit("?"))),
+            ("missing node type", "error", named & ~typed, F.col("id")),
+            ("unknown node type", "error", named & typed & ~F.col("node_type").isin(*NODE_TYPES), F.col("id")),
+        )
+        .unionAll(
+            _found(
+                met,
+                ("malformed edge", "error", ~whole, subject),
+                ("unknown edge type", "error", whole & ~F.col("type").isin(*EDGE_RULES), subject),
+                ("orphan source", "error", known & F.col("source_type").isNull(), subject),
+                ("orphan target", "error", known & F.col("source_type").isNotNull() & F.col("target_type").isNull(), subject),
+                ("source type not allowed", "error", both & ~F.array_contains(_ends(0)[F.col("type")], F.col("source_type")), subject),
+                ("target type not allowed", "error", both & ~F.array_contains(_ends(1)[F.col("type")], F.col("target_type")), subject),
+            )
+        )
+        .unionAll(_found(ambiguities, ("malformed ambiguity", "error", required, F.coalesce("id", F.lit("?"))), ("unusual confidence", "warning", ~required & ~F.col("confidence").isin(*CONFIDENCES), F.col("id"))))
     )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out
 
 
 def counts(nodes: DataFrame, edges: DataFrame, ambiguities: DataFrame, problems: DataFrame) -> DataFrame:
@@ -81,12 +84,21 @@ def counts(nodes: DataFrame, edges: DataFrame, ambiguities: DataFrame, problems:
 
 
 def node_changes(raw: DataFrame, enriched: DataFrame) -> DataFrame:
-    """(violation, detail): nodes that enrichment lost, invented or gave another type."""
-    left, right = raw.select("id", F.col("node_type").alias("before")), enriched.select("id", F.col("node_type").alias("after"))
-    lost = left.join(right, "id", "left_anti").select(F.lit("node_removed").alias("violation"), F.col("id").alias("detail"))
-    new = right.join(left, "id", "left_anti").select(F.lit("node_added"), "id")
-    changed = left.join(right, "id").where(~F.col("before").eqNullSafe(F.col("after"))).select(F.lit("node_type_changed"), "id")
-    return lost.distinct().unionAll(new.distinct()).unionAll(changed.distinct())
+    """(violation, detail): nodes that enrichment lost, invented or gave another type, by one aggregation
+    over both graphs."""
+    kind = F.coalesce("node_type", F.lit("\0"))
+    both = raw.select("id", kind.alias("before"), F.lit(None).cast("string").alias("after")).unionAll(enriched.select("id", F.lit(None).cast("string"), kind))
+    seen = both.groupBy("id").agg(*(f(c).alias(f"{n}_{c}") for c in ("before", "after") for n, f in (("least", F.min), ("most", F.max))))
+    same = (F.col("least_before") == F.col("most_before")) & (F.col("least_after") == F.col("most_after")) & (F.col("least_before") == F.col("least_after"))
+    violation = F.when(F.col("least_after").isNull(), "node_removed").when(F.col("least_before").isNull(), "node_added").when(~same, "node_type_changed")
+    return seen.select(violation.alias("violation"), F.col("id").alias("detail")).where("violation IS NOT NULL AND detail IS NOT NULL")
+
+
+def edge_changes(raw: DataFrame, enriched: DataFrame) -> DataFrame:
+    """(violation, detail): edges that only one of two graphs has, by one aggregation over both."""
+    both = _keys(raw).withColumn("side", F.lit(0)).unionAll(_keys(enriched).withColumn("side", F.lit(1)))
+    seen = both.groupBy("source", "target", "type").agg(F.min("side").alias("first"), F.max("side").alias("last")).where("first = last")
+    return seen.select(F.when(F.col("first") == 0, "edge_removed").otherwise("edge_added").alias("violation"), F.concat_ws(" ", "source", "type", "target").alias("detail"))
 
 
 def _keys(edges: DataFrame) -> DataFrame:
@@ -104,14 +116,13 @@ def edges_added(raw: DataFrame, enriched: DataFrame) -> DataFrame:
 def equivalence(raw: tuple[DataFrame, DataFrame, DataFrame], enriched: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
     """(violation, detail) of two graphs (nodes, edges, ambiguities) that should have one structure:
     no row if they have.  Edges are compared as sets."""
-    said = F.concat_ws(" ", "source", "type", "target")
     counted = [df.agg(F.count(F.lit(1)).alias(n)) for df, n in ((raw[0], "n0"), (enriched[0], "n1"), (raw[2], "a0"), (enriched[2], "a1"))]
     line = counted[0].crossJoin(counted[1]).crossJoin(counted[2]).crossJoin(counted[3])
-    size = lambda a, b, name: line.where(F.col(a) != F.col(b)).select(F.lit(name).alias("violation"), F.concat_ws(" ", F.col(a).cast("string"), F.col(b).cast("string")).alias("detail"))
-    return (
-        size("n0", "n1", "node_count")
-        .unionAll(size("a0", "a1", "ambiguity_count"))
-        .unionAll(node_changes(raw[0], enriched[0]))
-        .unionAll(edges_removed(raw[1], enriched[1]).select(F.lit("edge_removed"), said))
-        .unionAll(edges_added(raw[1], enriched[1]).select(F.lit("edge_added"), said))
-    )
+    sizes = F.array(*(F.when(F.col(a) != F.col(b), F.struct(F.lit(name).alias("violation"), F.concat_ws(" ", F.col(a).cast("string"), F.col(b).cast("string")).alias("detail"))) for a, b, name in (("n0", "n1", "node_count"), ("a0", "a1", "ambiguity_count"))))
+    counts = line.select(F.explode(F.filter(sizes, lambda x: x.isNotNull())).alias("v")).select("v.*")
+    return counts.unionAll(node_changes(raw[0], enriched[0])).unionAll(edge_changes(raw[1], enriched[1]))
+
+
+def first_violations(violations: DataFrame, n: int = 5) -> DataFrame:
+    """The first ones, for a log."""
+    return violations.orderBy("violation", "detail").limit(n)

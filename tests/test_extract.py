@@ -210,3 +210,20 @@ def test_whole_graph(spark, tree, tmp_path):
     assert again.impact("a.py::Shape").where("relation = 'extends'").count() == 1
     changed = CodeGraph(again.nodes.withColumn("semantic_roles", again.nodes["semantic_roles"]), again.edges, again.ambiguities, again.files)
     assert changed.enrich_from(rich).nodes.count() == len(ids)
+
+
+def test_python_expressions_of_any_depth(spark):
+    deep = "def f():\n    return 1\n\n\nx = " + "+".join(['"a"'] * 2000) + " + f()\ny = " + "f()" + ".g()" * 150 + "\n"
+    found = python(spark, deep_py=deep, good_py="def h():\n    pass\n")
+    assert found["logs"] == {} and "good.py::h" in {n.id for n in found["nodes"]}
+    assert len([a for a in found["ambiguities"] if a.kind == "call_target_unknown"]) >= 150
+
+
+def test_python_names_of_other_files(spark):
+    """Only names that a file asks for are sent to it: of modules, of classes in them, through aliases."""
+    lib = "class Tool:\n    def run(self):\n        pass\n\n\ndef use():\n    pass\n\n\ndef other():\n    pass\n"
+    text = "import pkg.lib as l\nfrom lib import Tool as T, missing\nimport lib\n\n\ndef f():\n    l.use()\n    T.run()\n    lib.Tool.run()\n    lib.nothing()\n"
+    found = python(spark, pkg__lib_py=lib, a_py=text)
+    ends = {(e.edge, e["from"], e["to"], e.call_line) for e in found["edges"] if e["from"].startswith("a.py")}
+    assert ends >= {("calls", "a.py::f", "pkg/lib.py::use", 7), ("calls", "a.py::f", "pkg/lib.py::Tool::run", 8), ("calls", "a.py::f", "pkg/lib.py::Tool::run", 9), ("imports", "a.py", "pkg/lib.py::Tool", None)}
+    assert Counter(a.kind for a in found["ambiguities"] if a.source_file == "a.py") == {"import_symbol_type_unknown": 1, "call_target_unknown": 1}
