@@ -184,7 +184,7 @@ def _fragment(language: str, files: DataFrame, compat: bool) -> tuple[DataFrame,
         found = spool(extract_python.extract(files, compat), "python")
         part = lambda c: _ordered(found.select("path", F.posexplode(c).alias("at", "x")), ranks, "path", "at").select("seq", "x.*")
         return part("nodes"), part("edges"), part("ambiguities")
-    nodes, edges, doubts = extract_html.extract(files, compat) if language == "html" else extract_css.extract(files)
+    nodes, edges, doubts = extract_html.extract(files, compat) if language == "html" else extract_css.extract(files, compat)
     nodes = _ordered(nodes.withColumn("path", F.substring_index("id", "::", 1)), ranks, "path", "at")
     if language == "html":
         edges = edges.withColumn("at", F.col("first.at") * extract_html.RULES + F.col("first.rank")).drop("first")

@@ -6,9 +6,10 @@ what is pending, how far it is, whether it holds together, and puts given record
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import last_part
+from ..sources.shared import spool
 from .traverse import containment
 
 #: Below this a resolution must stay unresolved.
@@ -97,7 +98,7 @@ def apply_records(nodes: DataFrame, records: DataFrame, fallback: str | None = N
     if fallback is not None:
         none = F.lit(None)
         generic = F.struct(
-            F.concat(F.lit("Demo component: "), "name").alias("intent"), F.lit("Auto-generated demo description").alias("summary"), F.lit(1).alias("complexity_score"), F.array(F.lit("demo-generic")).alias("domain_tags"),
+            F.concat(F.lit("Part of a demo: "), "name").alias("intent"), F.lit("Not described yet").alias("summary"), F.lit(1).alias("complexity_score"), F.array(F.lit("demo")).alias("domain_tags"),
             none.cast("boolean").alias("pure_logic"), none.cast("array<string>").alias("side_effects"), F.coalesce("hash", F.lit("unknown")).alias("enriched_at_hash"), none.cast("string").alias("enriched_at"),
         )
         stamp = F.when(F.col("given").isNotNull(), stamp).when(F.col("file_path").contains(fallback), generic)
@@ -116,24 +117,26 @@ def resolve_ambiguities(ambiguities: DataFrame) -> DataFrame:
 
 
 def context(nodes: DataFrame, edges: DataFrame, ambiguities: DataFrame) -> DataFrame:
-    """One row for each file: (owner, node_ids, n_edges, ambiguity_ids): what a model needs to know about
-    it, ids sorted; n_edges counts the edges that touch one of its nodes."""
-    owned = containment(nodes, edges)
+    """(owner, node_ids, edges, ambiguities) for each file: what a model needs to know about it.  node_ids
+    are sorted; edges (source, target, type) are those that touch one of its nodes; ambiguities (id, kind,
+    expression, scope, candidates) are in the order of their ids, candidates being the nodes of any file
+    that bear a name of the expression.  A file's row is as large as the file; nothing is gathered
+    beyond that."""
+    owned = spool(containment(nodes, edges), "owned")
     members = owned.groupBy("owner").agg(F.array_sort(F.collect_set("id")).alias("node_ids"))
-    ends = edges.select("seq", F.col("source").alias("id")).unionAll(edges.select("seq", F.col("target").alias("id")))
-    touched = ends.join(owned, "id").groupBy("owner").agg(F.count_distinct("seq").alias("n_edges"))
-    doubts = ambiguities.select(F.col("id").alias("ambiguity"), F.col("source_scope").alias("id")).join(owned, "id").groupBy("owner").agg(F.array_sort(F.collect_set("ambiguity")).alias("ambiguity_ids"))
+    edge = F.struct("source", "target", "type")
+    ends = edges.select(edge.alias("edge"), F.explode(F.array("source", "target")).alias("id"))
+    touched = ends.join(owned, "id").select("owner", "edge").distinct().groupBy("owner").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
+    could = candidates(nodes, ambiguities).groupBy(F.col("ambiguity").alias("id")).agg(F.array_sort(F.collect_list("candidate")).alias("candidates"))
+    doubts = ambiguities.select("id", "kind", "expression", F.col("source_scope").alias("scope")).join(could, "id", "left")
+    doubts = doubts.join(owned.withColumnRenamed("id", "scope"), "scope")
     none = F.array().cast("array<string>")
-    return members.join(touched, "owner", "left").join(doubts, "owner", "left").select("owner", "node_ids", F.coalesce("n_edges", F.lit(0)).cast("long").alias("n_edges"), F.coalesce("ambiguity_ids", none).alias("ambiguity_ids"))
+    told = doubts.groupBy("owner").agg(F.array_sort(F.collect_list(F.struct("id", "kind", "expression", "scope", F.coalesce("candidates", none).alias("candidates")))).alias("ambiguities"))
+    empty = lambda c, df: F.coalesce(c, F.array().cast(df.schema[c].dataType)).alias(c)
+    return members.join(touched, "owner", "left").join(told, "owner", "left").select("owner", "node_ids", empty("edges", touched), empty("ambiguities", told))
 
 
 def candidates(nodes: DataFrame, ambiguities: DataFrame) -> DataFrame:
     """(ambiguity, candidate): nodes that bear a name which an ambiguity's expression holds."""
     words = ambiguities.select(F.col("id").alias("ambiguity"), F.explode(F.array_distinct(F.regexp_extract_all("expression", F.lit(r"\w+"), F.lit(0)))).alias("name"))
     return words.join(nodes.select("name", F.col("id").alias("candidate")), "name").select("ambiguity", "candidate").distinct()
-
-
-def latest(records: DataFrame) -> DataFrame:
-    """Of several records (id, llm_enrichment) of a node the newest."""
-    w = Window.partitionBy("id").orderBy(F.desc("llm_enrichment.enriched_at"))
-    return records.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")

@@ -7,10 +7,12 @@ as long as one hop's and lost executors cost no more than a hop.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..schema import OWNERSHIP
-from ..sources.shared import spool
+from ..sources.shared import spool, unspool
 
 #: Edges that the ordered walk may gather on the driver.
 ORDERED_EDGES = 1_000_000
@@ -22,25 +24,25 @@ def reach(edges: DataFrame, start: str, depth: int, reverse: bool = False) -> Da
     result if a cycle leads back to it."""
     here, there = ("target", "source") if reverse else ("source", "target")
     own = edges.select(F.col(here).alias("here"), F.col(there).alias("there"), "type", "seq").where("there IS NOT NULL")
+    if depth > 1:
+        own = spool(own, "steps")  # what edges are derived from is read once, not for each hop
     hops: list[DataFrame] = []
-    frontier = None
     for k in range(1, depth + 1):
-        met = own.where(F.col("here") == start) if frontier is None else own.join(frontier.select(F.col("id").alias("here")), "here")
-        hop = met.groupBy(F.col("there").alias("id")).agg(F.min_by(F.struct("type", "seq"), "seq").alias("first")).select("id", F.lit(k).alias("depth"), "first.type", "first.seq")
-        for seen in hops:
-            hop = hop.join(seen.select("id"), "id", "left_anti")
+        met = own.where(F.col("here") == start) if k == 1 else own.join(hops[-1].select(F.col("id").alias("here")), "here")
+        hop = met.groupBy(F.col("there").alias("id")).agg(F.min_by(F.struct("type", "seq"), "seq").alias("first")).select("id", F.lit(k).alias("depth"), F.col("first.type").alias("relation"))
+        if hops:
+            hop = hop.join(reduce(DataFrame.unionAll, hops).select("id"), "id", "left_anti")
         if depth > 1:
             hop = spool(hop, "hop")
             if hop.isEmpty():
+                unspool(hop)
                 break
         hops.append(hop)
-        frontier = hop
+    if depth > 1:
+        unspool(own)
     if not hops:
-        return own.select(F.col("there").alias("id"), F.lit(1).alias("depth"), F.col("type").alias("relation")).where("false")
-    out = hops[0]
-    for h in hops[1:]:
-        out = out.unionAll(h)
-    return out.select("id", "depth", F.col("type").alias("relation"))
+        return edges.sparkSession.createDataFrame([], "id string, depth int, relation string")
+    return reduce(DataFrame.unionAll, hops)
 
 
 def _typed(found: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -100,12 +102,13 @@ def containment(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, owner): the file that a node belongs to along edges of ownership.  Of several owners the
     nearest counts, then the first by (seq of the owner's file, owner); nodes that no file reaches
     have no row.  It ends when a level owns nothing new, however deep the nesting."""
-    step = edges.where(F.col("type").isin(*OWNERSHIP)).select(F.col("source").alias("here"), F.col("target").alias("there"))
+    step = spool(edges.where(F.col("type").isin(*OWNERSHIP)).select(F.col("source").alias("here"), F.col("target").alias("there")), "steps")
     files = nodes.where("node_type = 'File'").groupBy("id").agg(F.min("seq").alias("rank")).select("id", F.col("id").alias("owner"), "rank")
     found = frontier = spool(files, "owners")
     while True:
         met = step.join(frontier, F.col("here") == F.col("id")).groupBy("there").agg(F.min(F.struct("rank", "owner")).alias("first"))
         frontier = spool(met.select(F.col("there").alias("id"), "first.owner", "first.rank").join(found.select("id"), "id", "left_anti"), "owners")
         if frontier.isEmpty():
+            unspool(frontier), unspool(step)
             return found.select("id", "owner")
         found = found.unionAll(frontier)

@@ -53,6 +53,11 @@ UNION ALL SELECT 5200000000000000000 + r_regionkey, 'world:1', 'region:' || CAST
 UNION ALL SELECT 5300000000000000000 + r_regionkey, 'region:' || CAST(r_regionkey AS STRING), 'region:0', 'borders', NULL FROM region
 UNION ALL SELECT 5400000000000000000 + r_regionkey, 'region:' || CAST(r_regionkey AS STRING), NULL, 'imports', NULL FROM region
 """
+#: One function that calls others too.
+CALL_EDGES = f"""
+SELECT seq, source, target, type, call_line FROM ({EDGES}) good
+UNION ALL SELECT 5000000000000000000 + s_suppkey, 'supplier:1', 'supplier:' || CAST(s_suppkey AS STRING), 'calls', CAST(s_suppkey AS INT) FROM supplier WHERE s_suppkey > 1
+"""
 #: Edges of the rules: nations extend the first of their region, suppliers decorate each other.
 ROLE_EDGES = f"""
 SELECT seq, source, target, type, call_line FROM ({EDGES}) good
@@ -176,9 +181,9 @@ def python_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def css_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, content): a stylesheet for each brand with a class for each part."""
+    """(path, content): a stylesheet for each brand with a class and an id for each part."""
     parts = table(spark, sf_dir, "SELECT lower(p_brand) AS brand, p_partkey AS k, p_size AS z FROM part")
-    rule = lambda x: F.concat(F.lit(".part-"), x["k"].cast("string"), F.when(x["z"] > 25, F.lit(":hover")).otherwise(""), F.lit(" { width: "), x["z"].cast("string"), F.lit("px }\n"))
+    rule = lambda x: F.concat(F.lit(".part-"), x["k"].cast("string"), F.when(x["z"] > 25, F.lit(":hover")).otherwise(""), F.lit(", #p"), x["k"].cast("string"), F.lit(" > li { width: "), x["z"].cast("string"), F.lit("px }\n"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "z"))), rule), "")
     head = F.concat(F.lit('@import "base.css";\n/* .no { } @keyframes old */\n@media (max-width: 1px) { }\n@keyframes spin { }\n'))
     return parts.groupBy("brand").agg(body.alias("body")).select(F.concat(F.replace("brand", F.lit("#"), F.lit("-")), F.lit(".css")).alias("path"), F.concat(head, "body").alias("content"))

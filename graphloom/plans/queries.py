@@ -146,14 +146,17 @@ def call_graph_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query.calls_in(D.nodes(spark, sf_dir), D.edges(spark, sf_dir), "supplier:1")
 
 
-@register("call_graph", _G + f"SELECT 'incoming' AS direction, caller AS node, caller_name AS name, caller_type AS node_type, call_line FROM ({_IN}) x")
+_BOTH = _with(nodes=D.NODES, edges=D.CALL_EDGES)
+
+
+@register("call_graph", _BOTH + f"SELECT 'incoming' AS direction, caller AS node, caller_name AS name, caller_type AS node_type, call_line FROM ({_IN}) x UNION ALL SELECT 'outgoing', * FROM ({_OUT.replace('customer:1', 'supplier:1')}) y")
 def call_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return query.call_graph(D.nodes(spark, sf_dir), D.edges(spark, sf_dir), "supplier:1")
+    return query.call_graph(D.nodes(spark, sf_dir), D.edges(spark, sf_dir, D.CALL_EDGES), "supplier:1")
 
 
-@register("call_graph_summary", _G + "SELECT 'supplier:1' AS node_id, count(*) FILTER (WHERE source = 'supplier:1') AS outgoing_count, count(*) FILTER (WHERE target = 'supplier:1') AS incoming_count FROM edges WHERE type = 'calls'")
+@register("call_graph_summary", _BOTH + "SELECT 'supplier:1' AS node_id, count(*) FILTER (WHERE source = 'supplier:1') AS outgoing_count, count(*) FILTER (WHERE target = 'supplier:1') AS incoming_count FROM edges WHERE type = 'calls'")
 def call_graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return query.call_graph_summary(D.edges(spark, sf_dir), "supplier:1")
+    return query.call_graph_summary(D.edges(spark, sf_dir, D.CALL_EDGES), "supplier:1")
 
 
 @register("stats", _G + "SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges")
@@ -246,12 +249,12 @@ def merge_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.merge_edges(merge.union(e), merge.aliases(merge.union(n))).select("source", "target", "type", "call_line")
 
 
-@register("merge", _M + "SELECT 'node' AS part, node_type AS kind, count(*) AS n FROM merged GROUP BY ALL UNION ALL SELECT 'edge', type, count(*) FROM medges GROUP BY ALL")
+@register("merge", _M + "SELECT 'node' AS part, id AS a, node_type AS b, docstring AS c, NULL::INT AS call_line FROM merged UNION ALL SELECT 'edge', source, target, type, call_line FROM medges")
 def merge_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, e = _parts(spark, sf_dir)
     nodes, edges, _ = merge.merge(n, e, [D.ambiguities(spark, sf_dir)])
-    counted = nodes.groupBy(F.lit("node").alias("part"), F.col("node_type").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
-    return counted.unionAll(edges.groupBy(F.lit("edge").alias("part"), F.col("type").alias("kind")).agg(F.count(F.lit(1)).alias("n")))
+    shown = nodes.select(F.lit("node").alias("part"), F.col("id").alias("a"), F.col("node_type").alias("b"), F.col("docstring").alias("c"), F.lit(None).cast("int").alias("call_line"))
+    return shown.unionAll(edges.select(F.lit("edge"), "source", "target", "type", "call_line"))
 
 
 # ---- changes -------------------------------------------------------------------------------
@@ -407,12 +410,12 @@ def _rule(name: str, r: rules.Rule, sql: str, loose: bool = False) -> None:
 
 
 _BY = "SELECT DISTINCT n.id FROM nodes n JOIN edges e ON e.{here} = n.id AND e.type = '{type}' JOIN nodes o ON o.id = e.{there} WHERE n.node_type = '{kind}' AND {test}"
-_rule("role_inheritance", rules.rule("x", "Class", "R", inherits=["ALGERIA", "INDIA"]), _BY.format(here="source", there="target", type="extends", kind="Class", test="o.name IN ('ALGERIA', 'INDIA')"))
+_rule("role_inheritance", rules.rule("x", "Class", "R", inherits=["NATION_0", "NATION_1"]), _BY.format(here="source", there="target", type="extends", kind="Class", test="o.name IN ('NATION_0', 'NATION_1')"))
 _rule("role_path", rules.rule("x", "Function", "R", file_pattern="asia"), _BY.format(here="target", there="source", type="defines", kind="Function", test="contains(o.file_path, 'asia')"))
 _rule("role_path_glob", rules.rule("x", "Function", "R", file_pattern="src/a*/views.py"), _BY.format(here="target", there="source", type="defines", kind="Function", test="o.file_path LIKE 'src/a%/views.py'"))
 _rule("role_decorator", rules.rule("x", "Function", "R", decorated_by=["Supplier#000000001", "other"]), _BY.format(here="target", there="source", type="decorates", kind="Function", test="o.name IN ('Supplier#000000001', 'other')"))
 _rule("role_calls", rules.rule("x", "Method", "R", calls=["Supplier#000000001", "Supplier#000000002"]), _BY.format(here="source", there="target", type="calls", kind="Method", test="o.name IN ('Supplier#000000001', 'Supplier#000000002')"))
-_rule("role_name", rules.rule("x", "Class", "R", function_name=["INDIA", "CHINA", "PERU"]), "SELECT id FROM nodes WHERE node_type = 'Class' AND name IN ('INDIA', 'CHINA', 'PERU')")
+_rule("role_name", rules.rule("x", "Class", "R", function_name=["NATION_1", "NATION_2", "PERU"]), "SELECT id FROM nodes WHERE node_type = 'Class' AND name IN ('NATION_1', 'NATION_2', 'PERU')")
 _rule("role_args", rules.rule("x", "Function", "R", has_argument=["request"]), "SELECT id FROM nodes WHERE node_type = 'Function' AND arg = 'request'")
 _rule(
     "role_import", rules.rule("x", "Class", "R", requires_import="AFR"),
@@ -425,16 +428,16 @@ _rule(
 )
 
 _SET = (
-    rules.rule("a", "Class", "Heir", inherits=["ALGERIA", "INDIA"]),
-    rules.rule("a", "Class", "Named", function_name=["INDIA", "CHINA"]),
+    rules.rule("a", "Class", "Heir", inherits=["NATION_0", "NATION_1"]),
+    rules.rule("a", "Class", "Named", function_name=["NATION_1", "NATION_2"]),
     rules.rule("b", "Function", "View", has_argument=["request"], file_pattern="views"),
     rules.rule("b", "Function", "Signal", decorators=["receiver"]),
-    rules.rule("b", "Class", "Named", function_name=["CHINA", "PERU"]),
+    rules.rule("b", "Class", "Named", function_name=["NATION_2", "PERU"]),
     rules.rule("c", "Variable", "Component", contains_attribute=["pseudo_state"]),
 )
 _HITS = """, hits AS (
-  SELECT DISTINCT n.id, 0 AS r, 'Heir' AS role FROM nodes n JOIN edges e ON e.source = n.id AND e.type = 'extends' JOIN nodes o ON o.id = e.target WHERE o.name IN ('ALGERIA', 'INDIA')
-  UNION ALL SELECT id, 1, 'Named' FROM nodes WHERE node_type = 'Class' AND name IN ('INDIA', 'CHINA', 'PERU')
+  SELECT DISTINCT n.id, 0 AS r, 'Heir' AS role FROM nodes n JOIN edges e ON e.source = n.id AND e.type = 'extends' JOIN nodes o ON o.id = e.target WHERE o.name IN ('NATION_0', 'NATION_1')
+  UNION ALL SELECT id, 1, 'Named' FROM nodes WHERE node_type = 'Class' AND name IN ('NATION_1', 'NATION_2', 'PERU')
   UNION ALL SELECT DISTINCT n.id, 2, 'View' FROM nodes n JOIN edges e ON e.target = n.id AND e.type = 'defines' JOIN nodes o ON o.id = e.source WHERE n.node_type = 'Function' AND n.arg = 'request' AND contains(o.file_path, 'views')
   UNION ALL SELECT id, 3, 'Signal' FROM nodes WHERE node_type = 'Function' AND decorator = '@receiver(...)'
   UNION ALL SELECT id, 5, 'Component' FROM nodes WHERE node_type = 'Variable' AND state IS NOT NULL)
@@ -508,7 +511,7 @@ _KEYS = "SELECT CAST(n_nationkey AS INT) AS rank, 'nation:' || CAST(n_nationkey
 @register("l2_apply", _with(nodes=D.NODES, keyed=_KEYS) + """, tails AS (SELECT *, string_split(key, ':')[-1] AS tail FROM keyed), called AS (SELECT *, string_split(tail, '::')[-1] AS called FROM tails),
 met AS (SELECT n.id, k.rank, k.intent FROM nodes n JOIN called k ON k.key = n.id UNION ALL SELECT n.id, k.rank, k.intent FROM nodes n JOIN called k ON k.called = n.name AND contains(n.id, k.tail)),
 one AS (SELECT id, min_by(intent, rank) AS intent FROM met GROUP BY id)
-SELECT n.id, coalesce(o.intent, 'Demo component: ' || n.name) AS intent, coalesce(n.hash, 'unknown') AS at_hash FROM nodes n LEFT JOIN one o ON o.id = n.id WHERE o.id IS NOT NULL OR contains(n.file_path, 'views')""")
+SELECT n.id, coalesce(o.intent, 'Part of a demo: ' || n.name) AS intent, coalesce(n.hash, 'unknown') AS at_hash FROM nodes n LEFT JOIN one o ON o.id = n.id WHERE o.id IS NOT NULL OR contains(n.file_path, 'views')""")
 def l2_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None)
     record = F.struct("intent", none.cast("string").alias("summary"), none.cast("int").alias("complexity_score"), none.cast("array<string>").alias("domain_tags"), none.cast("boolean").alias("pure_logic"), none.cast("array<string>").alias("side_effects"), none.cast("string").alias("enriched_at_hash"), none.cast("string").alias("enriched_at"))
@@ -523,12 +526,21 @@ def resolve_ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("l2_context", _GA + _OWN + """, members AS (SELECT owner, count(DISTINCT id) AS n_nodes FROM owned GROUP BY owner),
-touched AS (SELECT owner, count(DISTINCT seq) AS n_edges FROM (SELECT seq, source AS id FROM edges UNION ALL SELECT seq, target FROM edges) e JOIN owned o ON o.id = e.id GROUP BY owner),
-doubts AS (SELECT owner, count(DISTINCT a.id) AS n_ambiguities FROM ambs a JOIN owned o ON o.id = a.source_scope GROUP BY owner)
-SELECT m.owner, n_nodes, coalesce(n_edges, 0) AS n_edges, coalesce(n_ambiguities, 0) AS n_ambiguities FROM members m LEFT JOIN touched USING (owner) LEFT JOIN doubts USING (owner)""")
+touched AS (SELECT owner, count(*) AS n_edges, sum(length(s)) AS edge_chars FROM (SELECT DISTINCT owner, source || '>' || target || '>' || type AS s FROM (SELECT *, source AS id FROM edges UNION ALL SELECT *, target FROM edges) e JOIN owned o ON o.id = e.id) GROUP BY owner),
+words AS (SELECT id, unnest(list_distinct(regexp_extract_all(expression, '\\w+'))) AS w FROM ambs),
+could AS (SELECT w.id, count(DISTINCT n.id) AS n FROM words w JOIN nodes n ON n.name = w.w GROUP BY w.id),
+doubts AS (SELECT owner, count(DISTINCT a.id) AS n_ambiguities, sum(coalesce(c.n, 0)) AS n_candidates FROM ambs a JOIN owned o ON o.id = a.source_scope LEFT JOIN could c ON c.id = a.id GROUP BY owner)
+SELECT m.owner, n_nodes, coalesce(n_edges, 0) AS n_edges, CAST(coalesce(edge_chars, 0) AS BIGINT) AS edge_chars, coalesce(n_ambiguities, 0) AS n_ambiguities, CAST(coalesce(n_candidates, 0) AS BIGINT) AS n_candidates FROM members m LEFT JOIN touched USING (owner) LEFT JOIN doubts USING (owner)""")
 def l2_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = overlay.context(D.nodes(spark, sf_dir), D.edges(spark, sf_dir), D.ambiguities(spark, sf_dir))
-    return found.select("owner", F.size("node_ids").cast("long").alias("n_nodes"), "n_edges", F.size("ambiguity_ids").cast("long").alias("n_ambiguities"))
+    total = lambda c, f: F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + f(x))
+    chars = total("edges", lambda e: F.length(F.concat_ws(">", e["source"], e["target"], e["type"])))
+    return found.select("owner", F.size("node_ids").cast("long").alias("n_nodes"), F.size("edges").cast("long").alias("n_edges"), chars.alias("edge_chars"), F.size("ambiguities").cast("long").alias("n_ambiguities"), total("ambiguities", lambda a: F.size(a["candidates"])).alias("n_candidates"))
+
+
+@register("l2_candidates", _GA + """, words AS (SELECT id, unnest(list_distinct(regexp_extract_all(expression, '\\w+'))) AS w FROM ambs) SELECT DISTINCT w.id AS ambiguity, n.id AS candidate FROM words w JOIN nodes n ON n.name = w.w""")
+def l2_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlay.candidates(D.nodes(spark, sf_dir), D.ambiguities(spark, sf_dir))
 
 
 # ---- extraction ----------------------------------------------------------------------------
@@ -557,18 +569,24 @@ def py_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.explode("nodes").alias("n")).select("n.id", "n.node_type", "n.line_start")
 
 
-@register("py_edges", """SELECT edge, count(*) AS n FROM (
-SELECT 'defines' AS edge FROM nation UNION ALL SELECT 'contains_member' FROM nation UNION ALL SELECT 'contains_member' FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 'calls' FROM customer JOIN nation ON c_nationkey = n_nationkey
-UNION ALL SELECT 'imports' FROM nation UNION ALL SELECT 'imports' FROM nation UNION ALL SELECT 'defines' FROM supplier UNION ALL SELECT 'defines' UNION ALL SELECT 'calls' FROM supplier) GROUP BY edge""")
+_FROM = "'nations/n' || n_nationkey || '.py'"
+
+
+@register("py_edges", f"""WITH m AS (SELECT n_nationkey AS n, c_custkey AS k, row_number() OVER (PARTITION BY n_nationkey ORDER BY c_custkey) AS r FROM nation JOIN customer ON c_nationkey = n_nationkey),
+s AS (SELECT s_suppkey AS k, row_number() OVER (ORDER BY s_suppkey) AS r FROM supplier)
+SELECT 'defines' AS edge, {_FROM} AS source, {_FROM} || '::N' || n_nationkey AS target, NULL::INT AS call_line FROM nation UNION ALL SELECT 'contains_member', {_FROM} || '::N' || n_nationkey, {_FROM} || '::N' || n_nationkey || '::key', NULL FROM nation
+UNION ALL SELECT 'contains_member', 'nations/n' || n || '.py::N' || n, 'nations/n' || n || '.py::N' || n || '::c' || k, NULL FROM m UNION ALL SELECT 'calls', 'nations/n' || n || '.py::N' || n || '::c' || k, 'lib/suppliers.py::serve', CAST(6 + 2 * r AS INT) FROM m
+UNION ALL SELECT 'imports', {_FROM}, 'lib/suppliers.py', NULL FROM nation UNION ALL SELECT 'imports', {_FROM}, 'lib/suppliers.py::serve', NULL FROM nation UNION ALL SELECT 'defines', 'lib/suppliers.py', 'lib/suppliers.py::serve', NULL
+UNION ALL SELECT 'defines', 'lib/suppliers.py', 'lib/suppliers.py::s' || k, NULL FROM s UNION ALL SELECT 'calls', 'lib/suppliers.py::s' || k, 'lib/suppliers.py::serve', CAST(2 + 4 * r AS INT) FROM s""")
 def py_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = extract_python.extract(D.python_files(spark, sf_dir))
-    return found.select(F.explode("edges").alias("e")).groupBy("e.edge").agg(F.count(F.lit(1)).alias("n"))
+    return found.select(F.explode("edges").alias("e")).select("e.edge", F.col("e.from").alias("source"), F.col("e.to").alias("target"), "e.call_line")
 
 
-@register("py_ambiguities", "SELECT 'import_module_unknown' AS kind, 'json' AS expression, count(*) AS n FROM nation")
+@register("py_ambiguities", f"SELECT 'import_module_unknown' AS kind, {_FROM} AS source_scope, 'json' AS expression FROM nation UNION ALL SELECT 'schema_violation', {_FROM} || '::N' || n_nationkey, 'writes_to -> writes_to' FROM nation")
 def py_ambiguities(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = extract_python.extract(D.python_files(spark, sf_dir))
-    return found.select(F.explode("ambiguities").alias("a")).where("a.kind = 'import_module_unknown'").groupBy("a.kind", "a.expression").agg(F.count(F.lit(1)).alias("n"))
+    return found.select(F.explode("ambiguities").alias("a")).select("a.kind", "a.source_scope", "a.expression")
 
 
 @register("html_links", "SELECT page_id, h AS href FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS h FROM pages)")
@@ -621,17 +639,25 @@ def html_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.select(F.substring_index("id", "::", 1).alias("path"), F.col("node_type").alias("kind"), "name", F.col("attributes")["method"].alias("method"))
 
 
-@register("html_edges", "SELECT edge, count(*) AS n FROM (SELECT unnest(['links_static_asset', 'links_static_asset', 'links_static_asset', 'submits_form', 'calls_api', 'calls_api', 'targets_element', 'triggers_event']) AS edge FROM supplier) GROUP BY edge")
+_to = lambda edge, kind, name: (("edge", f"'{edge}'"), ("target", f"'shop/' || s_suppkey || '.html::{kind}::' || {name}"))
+
+
+@register("html_edges", _shop(
+    _to("links_static_asset", "StaticAsset", "'/s' || s_nationkey || '.css'"), _to("links_static_asset", "StaticAsset", "'logo.png'"), _to("links_static_asset", "StaticAsset", "'/og.png'"), _to("submits_form", "Route", "'/buy/' || s_suppkey"),
+    _to("calls_api", "Route", "'/cart'"), _to("calls_api", "Route", "'/more'"), _to("targets_element", "StyleID", "'#cart'"), _to("triggers_event", "Event", "'revealed'")))
 def html_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_html.extract(D.shop_files(spark, sf_dir))[1].groupBy("edge").agg(F.count(F.lit(1)).alias("n"))
+    return extract_html.extract(D.shop_files(spark, sf_dir))[1].select(F.col("`from`").alias("path"), "edge", F.col("to").alias("target"))
 
 
 _SHEET = "replace(lower(p_brand), '#', '-') || '.css' AS path"
 
 
-@register("css_selectors", f"SELECT {_SHEET}, 'part-' || p_partkey AS name, CAST(4 + row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INT) AS line, CASE WHEN p_size > 25 THEN 'hover' END AS pseudo_state FROM part")
+_RULE = f"(SELECT {_SHEET}, p_partkey AS k, CAST(4 + row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INT) AS line, CASE WHEN p_size > 25 THEN 'hover' END AS state FROM part)"
+
+
+@register("css_selectors", f"SELECT path, 'StyleClass' AS node_type, 'part-' || k AS name, line, state AS pseudo_state FROM {_RULE} UNION ALL SELECT path, 'StyleID', 'p' || k, line, NULL FROM {_RULE} UNION ALL SELECT path, 'StyleElement', 'li', line, NULL FROM {_RULE}")
 def css_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_css.selectors(D.css_files(spark, sf_dir)).where("node_type = 'StyleClass'").select("path", "name", "line", "pseudo_state")
+    return extract_css.selectors(D.css_files(spark, sf_dir)).select("path", "node_type", "name", "line", "pseudo_state")
 
 
 @register("css_ambiguities", f"SELECT DISTINCT {_SHEET}, k.kind, k.expression FROM part, (VALUES ('responsive_breakpoint', '@media (max-width: 1px)'), ('css_animation_defined', '@keyframes old'), ('css_animation_defined', '@keyframes spin'), ('import_target_unresolved', 'base.css')) k(kind, expression)")
@@ -644,16 +670,16 @@ def css_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_css.ambiguities(D.css_files(spark, sf_dir)).where("kind = 'import_target_unresolved'").select("path", "expression")
 
 
-@register("css_edges", f"SELECT {_SHEET}, 'defines' AS edge, count(*) AS n FROM part GROUP BY ALL")
+@register("css_edges", f"SELECT path, 'defines' AS edge, path || '::StyleClass::part-' || k AS target FROM {_RULE} UNION ALL SELECT path, 'defines', path || '::StyleID::p' || k FROM {_RULE} UNION ALL SELECT DISTINCT path, 'defines', path || '::StyleElement::li' FROM {_RULE}")
 def css_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = extract_css.extract(D.css_files(spark, sf_dir))[1]
-    return edges.where("`to` LIKE '%::StyleClass::%'").groupBy(F.col("`from`").alias("path"), "edge").agg(F.count(F.lit(1)).alias("n"))
+    return extract_css.extract(D.css_files(spark, sf_dir))[1].select(F.col("`from`").alias("path"), "edge", F.col("to").alias("target"))
 
 
-@register("v1_file", "SELECT 'nations/n' || n_nationkey || '.py' AS path, 'json,suppliers.serve' AS imports, 'N' || n_nationkey AS classes, count(c_custkey) AS methods FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey")
+@register("v1_file", "SELECT 'nations/n' || n_nationkey || '.py' AS path, 'json,suppliers.serve' AS imports, '' AS calls, 'N' || n_nationkey AS classes, count(c_custkey) AS methods, 0::BIGINT AS functions FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey UNION ALL SELECT 'lib/suppliers.py', '', '', '', 0, count(*) + 1 FROM supplier")
 def v1_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = file_profile.profiles(D.python_files(spark, sf_dir)).where("size(classes) > 0")
-    return found.select("path", F.array_join("imports", ",").alias("imports"), F.array_join(F.col("classes.name"), ",").alias("classes"), F.size(F.flatten("classes.methods")).cast("long").alias("methods"))
+    found = file_profile.profiles(D.python_files(spark, sf_dir))
+    listed = lambda c: F.array_join(c, ",")
+    return found.select("path", listed("imports").alias("imports"), listed("calls").alias("calls"), listed(F.col("classes.name")).alias("classes"), F.size(F.flatten("classes.methods")).cast("long").alias("methods"), F.size("functions").cast("long").alias("functions"))
 
 
 @register("files_importing", "SELECT 'nations/n' || n_nationkey || '.py' AS path FROM nation")

@@ -158,7 +158,8 @@ def test_css(spark):
     assert by["StyleClass", "c"].attributes == {"pseudo_state": "hover"}
     assert not by["StyleClass", "b"].attributes  # the first one of equal names stays
     assert by["StyleID", "main"].line_start == 9
-    assert ("StyleElement", "p") in by and ("StyleElement", "color") in by
+    assert {n for k, n in by if k == "StyleElement"} == {"p"}
+    assert {r.name for r in extract_css.selectors(files(spark, s_css=SHEET), compat=True).where("node_type = 'StyleElement'").collect()} >= {"p", "color", "import"}
     assert edges.count() == len(by) - 1 and {r.edge for r in edges.collect()} == {"defines"}
     assert Counter(r.kind for r in doubts.collect()) == {"css_animation_defined": 2, "responsive_breakpoint": 1, "import_target_unresolved": 1}
 
@@ -227,3 +228,12 @@ def test_python_names_of_other_files(spark):
     ends = {(e.edge, e["from"], e["to"], e.call_line) for e in found["edges"] if e["from"].startswith("a.py")}
     assert ends >= {("calls", "a.py::f", "pkg/lib.py::use", 7), ("calls", "a.py::f", "pkg/lib.py::Tool::run", 8), ("calls", "a.py::f", "pkg/lib.py::Tool::run", 9), ("imports", "a.py", "pkg/lib.py::Tool", None)}
     assert Counter(a.kind for a in found["ambiguities"] if a.source_file == "a.py") == {"import_symbol_type_unknown": 1, "call_target_unknown": 1}
+
+
+def test_css_reads_selectors_only():
+    found = lambda text: [(k[5:], n, line, s) for k, n, line, s in extract_css.names(text)]
+    assert found(".a { width: 1px; color: red }") == [("Class", "a", 1, None)]
+    assert found('a[href="x{y}"]:not(.b, em):nth-child(odd) > #fff::before\n, i { content: "}.no{" }') == [("Class", "b", 1, None), ("ID", "fff", 1, None), ("Element", "a", 1, None), ("Element", "em", 1, None), ("Element", "i", 2, None)]
+    assert found("@media (x) { .m:hover { color: red; & u { } } }\n@supports (display: grid) { s { } }") == [("Class", "m", 1, "hover"), ("Element", "u", 1, None), ("Element", "s", 2, None)]
+    assert found("@keyframes k { from { } to { } } @font-face { src: url(a;b) } @import 'x.css'; @page :first { } b { }") == [("Element", "b", 1, None)]
+    assert found("} b { } .c { .d { } ") == [("Class", "c", 1, None), ("Class", "d", 1, None), ("Element", "b", 1, None)] and found("") == [] and found("{{{") == []
