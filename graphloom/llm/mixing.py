@@ -21,14 +21,15 @@ BLOCK_TOKENS, SHARD_DOCS, BUDGET, SEED = 4096, 8192, 0.5, 17
 WEIGHTS = {"src1": 2.0, "src2": 0.5}
 
 
-#: Scripts that put no blanks between words: each of their characters is a token.
-UNPARTED = ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")
+#: Characters of scripts that put no blanks between words (Thai, Lao, Myanmar, Khmer, kana, Han): each is a
+#: token.  Java and SQL read the ranges alike.
+UNPARTED = r"\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{20000}-\x{323AF}"
+TOKEN = rf"[{UNPARTED}]|[^\s{UNPARTED}]+"
 
 
 def n_tokens(text: str) -> Column:
     """Runs of non-blank characters, and characters of scripts without blanks."""
-    some = "".join(f"\\p{{Is{x}}}" for x in UNPARTED)
-    return F.coalesce(F.regexp_count(text, F.lit(f"[{some}]|[^\\s{some}]+")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0)).cast("long")
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: float = BUDGET, block_tokens: int = BLOCK_TOKENS, shard_docs: int = SHARD_DOCS, seed: int = SEED, counted: str | None = None) -> DataFrame:
@@ -83,10 +84,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WEIGHT = "CASE src " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in WEIGHTS.items()) + " ELSE 1::DOUBLE END"
-_SCRIPTS = "".join(f"\\p{{{x}}}" for x in UNPARTED)
 SQL = f"""
 WITH own AS (
-  SELECT doc_id, source, text, coalesce(source, '') AS src, coalesce(len(regexp_extract_all(text, '[{_SCRIPTS}]|[^\\s{_SCRIPTS}]+')), 0) AS tokens,
+  SELECT doc_id, source, text, coalesce(source, '') AS src, coalesce(len(regexp_extract_all(text, '{TOKEN}')), 0) AS tokens,
          md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS o FROM documents),
 sharded AS (SELECT *, CAST('0x' || substr(o, 1, 8) AS BIGINT) % ((SELECT count(*) FROM own) // {SHARD_DOCS} + 1) AS shard FROM own),
 placed AS (
