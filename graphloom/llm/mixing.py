@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import free, need, read
+from .common import free, need, read, spool
 
 #: Tokens of a block; documents of a shard on average; share of the blocks that the mix keeps;
 #: weights of sources (all others have 1).
@@ -29,7 +29,8 @@ TOKEN = rf"[{UNPARTED}]|[^\s{UNPARTED}]+"
 
 def n_tokens(text: str) -> Column:
     """Runs of non-blank characters, and characters of scripts without blanks."""
-    return F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0)).cast("long")
+    ascii_only = F.octet_length(text) == F.length(text)
+    return F.coalesce(F.when(ascii_only, F.regexp_count(text, F.lit(r"\S+"))).otherwise(F.regexp_count(text, F.lit(TOKEN))), F.lit(0)).cast("long")
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: float = BUDGET, block_tokens: int = BLOCK_TOKENS, shard_docs: int = SHARD_DOCS, seed: int = SEED, counted: str | None = None) -> DataFrame:
@@ -39,24 +40,27 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: float
     Tokens are those of n_tokens(), or of the column ``counted`` of the table, where a tokenizer has
     counted them (null is 0).  A null source is the source ''.  A null or empty text has no tokens and
     goes with the block in which it falls.  Order and shard come from a hash of doc_id and text, so
-    rows without doc_id or of one doc_id spread over all shards; rows equal in both are documents of
-    their own, next to each other.  A weight of 0 excludes a source.  An empty table gives no rows.
+    rows without doc_id or of one doc_id spread over all shards; rows equal in doc_id, text and source
+    go together, into the block of the first.  A weight of 0 excludes a source.  An empty table gives no
+    rows.
     """
     weights = WEIGHTS if weights is None else weights
     need(docs, "doc_id", "text", "source")
     shard, block, tokens = (free(docs, n) for n in ("shard", "block", "tokens"))
-    src, order = (free(docs, n) for n in ("own_source", "own_order"))
+    own, order = (free(docs, n) for n in ("own_source", "own_order"))
     mark = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
-    placed = docs.withColumns({tokens: F.coalesce(F.col(counted).cast("long"), F.lit(0)) if counted else n_tokens("text"), src: F.coalesce("source", F.lit("")), order: F.md5(mark)})
-    placed = placed.withColumn(shard, F.conv(F.substring(order, 1, 8), 16, 10).cast("long") % F.lit(docs.count() // shard_docs + 1))
-
-    def blocks(df: DataFrame) -> DataFrame:
-        before = Window.partitionBy(shard, src).orderBy(order, tokens).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumn(block, F.floor(F.coalesce(F.sum(tokens).over(before), F.lit(0)) / block_tokens).cast("long"))
-
-    lean = blocks(placed.select(shard, src, order, tokens)).groupBy(shard, src, block).agg(F.sum(tokens).alias("t"))
-    chosen = choose(lean.toDF("shard", "src", "block", "t"), weights, budget, block_tokens, seed).toDF(shard, src, block)
-    return blocks(placed).join(chosen, [shard, src, block]).select(*docs.columns, shard, block, tokens)
+    size = F.coalesce(F.col(counted).cast("long"), F.lit(0)) if counted else n_tokens("text")
+    # Texts are counted once, for a lean table; they are moved once, to meet what was chosen.
+    lean = docs.select(F.coalesce("source", F.lit("")).alias("src"), F.md5(mark).alias("o"), size.alias("tokens"))
+    lean = spool(lean.groupBy("src", "o").agg(F.max("tokens").alias("tokens"), F.count(F.lit(1)).alias("copies")), "mixing")
+    n = lean.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    placed = lean.withColumn("shard", F.conv(F.substring("o", 1, 8), 16, 10).cast("long") % F.lit(n // shard_docs + 1))
+    before = Window.partitionBy("shard", "src").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)
+    t = F.col("tokens") * F.col("copies")
+    placed = placed.withColumn("block", F.floor(F.coalesce(F.sum(t).over(before), F.lit(0)) / block_tokens).cast("long"))
+    chosen = choose(placed.groupBy("shard", "src", "block").agg(F.sum(t).alias("t")), weights, budget, block_tokens, seed)
+    kept = placed.join(chosen, ["shard", "src", "block"]).select("src", "o", F.col("shard").alias(shard), F.col("block").alias(block), F.col("tokens").alias(tokens)).withColumnsRenamed({"src": own, "o": order})
+    return docs.withColumns({own: F.coalesce("source", F.lit("")), order: F.md5(mark)}).join(kept, [own, order]).select(*docs.columns, shard, block, tokens)
 
 
 def choose(begun: DataFrame, weights: dict[str, float], budget: float, block_tokens: int, seed: int) -> DataFrame:
@@ -88,11 +92,12 @@ SQL = f"""
 WITH own AS (
   SELECT doc_id, source, text, coalesce(source, '') AS src, coalesce(len(regexp_extract_all(text, '{TOKEN}')), 0) AS tokens,
          md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS o FROM documents),
-sharded AS (SELECT *, CAST('0x' || substr(o, 1, 8) AS BIGINT) % ((SELECT count(*) FROM own) // {SHARD_DOCS} + 1) AS shard FROM own),
+keyed AS (SELECT src, o, max(tokens) AS tokens, count(*) AS copies FROM own GROUP BY ALL),
+sharded AS (SELECT *, CAST('0x' || substr(o, 1, 8) AS BIGINT) % ((SELECT count(*) FROM own) // {SHARD_DOCS} + 1) AS shard FROM keyed),
 placed AS (
-  SELECT *, CAST(floor(coalesce(sum(tokens) OVER (PARTITION BY shard, src ORDER BY o, tokens
+  SELECT *, tokens * copies AS own_t, CAST(floor(coalesce(sum(tokens * copies) OVER (PARTITION BY shard, src ORDER BY o
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / {BLOCK_TOKENS}) AS BIGINT) AS block FROM sharded),
-begun AS (SELECT shard, src, block, sum(tokens) AS t FROM placed GROUP BY ALL),
+begun AS (SELECT shard, src, block, sum(own_t) AS t FROM placed GROUP BY ALL),
 ends AS (
   SELECT *, lead(block) OVER (PARTITION BY shard, src ORDER BY block) AS next, ceil(sum(t) OVER (PARTITION BY shard, src) / {BLOCK_TOKENS}) AS n FROM begun),
 units AS (SELECT shard, src, block, CAST(coalesce(next, greatest(n, block + 1)) AS BIGINT) - block AS span FROM ends),
@@ -104,6 +109,6 @@ ranked AS (
 quotas AS (SELECT shard, src, count(*) FILTER (WHERE won) AS quota FROM ranked GROUP BY ALL),
 drawn AS (
   SELECT u.*, sum(span) OVER (PARTITION BY shard, src ORDER BY md5('{SEED}:' || shard || ':' || src || ':' || block), block) AS upto FROM units u)
-SELECT p.doc_id, p.source, p.shard, p.block, p.tokens FROM placed p JOIN drawn d ON p.shard = d.shard AND p.src = d.src AND p.block = d.block
+SELECT w.doc_id, w.source, p.shard, p.block, p.tokens FROM own w JOIN placed p ON p.src = w.src AND p.o = w.o JOIN drawn d ON p.shard = d.shard AND p.src = d.src AND p.block = d.block
   JOIN quotas q ON q.shard = d.shard AND q.src = d.src WHERE 2 * d.upto - d.span <= 2 * q.quota
 """
