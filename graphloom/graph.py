@@ -3,63 +3,82 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .operators import diff, extract_css, extract_html, extract_python, merge, overlay, query, rules, traverse, validate
-from .schema import AMBIGUITY, SIGNATURE
-from .sources.files import scan_files
+from .schema import AMBIGUITY, NODE_TYPES, SIGNATURE
+from .sources.files import EXCLUDED_FOLDERS, LANGUAGES, scan_files
 from .sources.shared import spool
 
 _NODE = f"seq long, id string, node_type string, name string, file_path string, hash string, line_start int, line_end int, docstring string, is_async boolean, analysis_confidence string, signature {SIGNATURE}, attributes map<string,string>, semantic_roles array<string>"
 #: Places in a file and files in a fragment that seq has room for; what is left is for fragments.
 PLACES, FILES = 2**31, 2**29
 _EDGE = "seq long, source string, target string, type string, call_line int"
+_LOG, _META = "language string, path string, error string", "source string, fragments array<string>, enriched boolean"
+_PARTS = ("nodes", "edges", "ambiguities")
+
+
+class GovernanceError(ValueError):
+    """Rules that no enrichment should run with."""
 
 
 @dataclass(frozen=True)
 class CodeGraph:
+    """files: (path, content); log: files that could not be read or parsed; meta: one row about the graph."""
+
     nodes: DataFrame
     edges: DataFrame
     ambiguities: DataFrame
     files: DataFrame | None = None
+    log: DataFrame | None = None
+    meta: DataFrame | None = None
 
     # ---- building and keeping -------------------------------------------------------------
 
     @classmethod
-    def build(cls, spark: SparkSession, root: str, languages: tuple[str, ...] = ("python", "html", "css"), compat: bool = False) -> "CodeGraph":
-        """Scan, extract and merge a source tree."""
-        files = {k: scan_files(spark, root, f"*.{end}") for k, end in (("python", "py"), ("html", "html"), ("css", "css")) if k in languages}
+    def build(cls, spark: SparkSession, root: str, languages: tuple[str, ...] = ("python", "html", "css"), compat: bool = False, folders: tuple[str, ...] = EXCLUDED_FOLDERS, names: tuple[str, ...] = ()) -> "CodeGraph":
+        """Scan, extract and merge a source tree, without the folders and file names excluded."""
+        files = {k: spool(scan_files(spark, root, f"*.{end}", folders, names), "files") for end, k in LANGUAGES.items() if k in languages}
         return cls.from_files(files, compat)
 
     @classmethod
-    def from_files(cls, files: dict[str, DataFrame], compat: bool = False) -> "CodeGraph":
-        """files: language -> (path, content).  The graph is written to the shared folder, so that
-        sources are read and parsed once, whatever is asked of it."""
-        parts = [_fragment(language, f, compat) for language, f in files.items()]
-        nodes, edges, doubts = merge.merge([p[0] for p in parts], [p[1] for p in parts], [p[2] for p in parts], compat)
+    def from_files(cls, files: dict[str, DataFrame], compat: bool = False, fragments: str | None = None) -> "CodeGraph":
+        """files: language -> (path, content) and, where known, error.  The graph is written to the shared
+        folder, so that sources are read and parsed once, whatever is asked of it.  fragments: a folder
+        in which each language's part is kept as it was before merging."""
+        parts = {language: _fragment(language, f, compat) for language, f in files.items()}
+        if fragments:
+            for language, p in parts.items():
+                for name, df in zip((*_PARTS, "log"), p):
+                    df.write.mode("overwrite").parquet(f"{fragments}/{language}/{name}")
+        nodes, edges, doubts = merge.merge(*([p[i] for p in parts.values()] for i in range(3)), compat)
         order = lambda df: df.withColumn("seq", F.col("fragment") * F.lit(PLACES * FILES) + F.col("seq")).drop("fragment")
         nodes = order(nodes)
         for f in _fields(_NODE):
             if f[0] not in nodes.columns:
                 nodes = nodes.withColumn(f[0], F.lit(None).cast(f[1]))
-        every = None
-        for f in files.values():
-            every = f.select("path", "content") if every is None else every.unionAll(f.select("path", "content"))
-        return cls(spool(nodes, "nodes"), spool(order(edges), "edges"), spool(doubts.drop("fragment", "seq"), "ambiguities"), every)
+        every = log = None
+        for language, f in files.items():
+            own = f.where("content IS NOT NULL").select("path", "content")
+            every = own if every is None else every.unionAll(own)
+            log = parts[language][3] if log is None else log.unionAll(parts[language][3])
+        meta = nodes.sparkSession.createDataFrame([("graphloom", list(files), False)], _META)
+        return cls(spool(nodes, "nodes"), spool(order(edges), "edges"), spool(doubts.drop("fragment", "seq"), "ambiguities"), every, spool(log, "log"), meta)
 
     def save(self, path: str) -> None:
-        for name in ("nodes", "edges", "ambiguities"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        for name in (*_PARTS, "log", "meta"):
+            if (df := getattr(self, name)) is not None:
+                df.write.mode("overwrite").parquet(f"{path}/{name}")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, files: DataFrame | None = None) -> "CodeGraph":
         """A saved graph; the enriched one below path if there is one, else the raw one."""
+        there = lambda sub, n: (p := spark._jvm.org.apache.hadoop.fs.Path(f"{path}{sub}/{n}")).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
         for sub in ("/enriched", "/raw", ""):
-            p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}{sub}/nodes")
-            if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-                return cls(*(spark.read.parquet(f"{path}{sub}/{n}") for n in ("nodes", "edges", "ambiguities")), files)
+            if there(sub, "nodes"):
+                more = (spark.read.parquet(f"{path}{sub}/{n}") if there(sub, n) else None for n in ("log", "meta"))
+                return cls(*(spark.read.parquet(f"{path}{sub}/{n}") for n in _PARTS), files, *more)
         raise FileNotFoundError(path)
 
     def export_json(self, path: str) -> None:
@@ -112,7 +131,9 @@ class CodeGraph:
         return query.call_graph(self.nodes, self.edges, node_id)
 
     def stats(self) -> DataFrame:
-        return query.stats(self.nodes, self.edges)
+        """(nodes, edges, meta), meta being JSON, {} where nothing is known."""
+        meta = self.nodes.sparkSession.createDataFrame([("{}",)], "meta string") if self.meta is None else self.meta.select(F.to_json(F.struct(*self.meta.columns)).alias("meta"))
+        return query.stats(self.nodes, self.edges).crossJoin(meta)  # three tables of one row
 
     def stats_by_type(self) -> DataFrame:
         return query.stats_by_type(self.nodes)
@@ -122,20 +143,39 @@ class CodeGraph:
 
     # ---- enriching and checking ------------------------------------------------------------
 
-    def enrich(self, rule_set: tuple[rules.Rule, ...] = rules.RULES, loose: bool = True, compat: bool = False) -> "CodeGraph":
+    def enrich(self, rule_set: tuple[rules.Rule, ...] = rules.RULES, loose: bool = True, compat: bool = False, frameworks: tuple[str, ...] | None = None, gate: bool = True) -> "CodeGraph":
+        """The graph with semantic roles, by the rules of the frameworks named (of all if none are).
+        Rules with errors stop it, unless gate is off."""
+        rule_set = _governed(rule_set, frameworks, gate)
         found = rules.roles(self.nodes, self.edges, self.ambiguities, rule_set, loose, compat)
-        return replace(self, nodes=rules.enriched(self.nodes, found))
+        return replace(self, nodes=rules.enriched(self.nodes, found), meta=self._enriched())
 
-    def enrich_from(self, old: "CodeGraph", rule_set: tuple[rules.Rule, ...] = rules.RULES, loose: bool = True) -> "CodeGraph":
+    def _enriched(self) -> DataFrame | None:
+        return None if self.meta is None else self.meta.withColumn("enriched", F.lit(True))
+
+    def enrich_from(self, old: "CodeGraph", rule_set: tuple[rules.Rule, ...] = rules.RULES, loose: bool = True, frameworks: tuple[str, ...] | None = None, gate: bool = True) -> "CodeGraph":
         """As enrich(), but nodes of unchanged files keep what they had in old."""
+        rule_set = _governed(rule_set, frameworks, gate)
         status = self.diff(old)
         found = rules.roles(self.nodes, self.edges, self.ambiguities, rule_set, loose)
         done = diff.incremental(self.nodes, status, old.nodes, found)
-        return replace(self, nodes=self.nodes.drop("semantic_roles").join(done.drop("action"), "id"))
+        return replace(self, nodes=self.nodes.drop("semantic_roles").join(done.drop("action"), "id"), meta=self._enriched())
 
     def diff(self, old: "CodeGraph | None", compat: bool = False) -> DataFrame:
         return diff.first_run(self.nodes) if old is None else diff.node_status(self.nodes, old.nodes, self.edges, compat)
 
+    def write_diff(self, old: "CodeGraph | None", path: str) -> DataFrame:
+        """Statuses of files and nodes and their counts, as tables below path; the counts."""
+        old_nodes = old.nodes if old else self.nodes.limit(0)
+        diff.file_status(self.nodes, old_nodes).write.mode("overwrite").parquet(f"{path}/files")
+        self.diff(old).write.mode("overwrite").parquet(f"{path}/nodes")
+        spark = self.nodes.sparkSession
+        diff.status_counts(spark.read.parquet(f"{path}/nodes")).write.mode("overwrite").parquet(f"{path}/stats")
+        return spark.read.parquet(f"{path}/stats")
+
+    def context(self) -> DataFrame:
+        return overlay.context(self.nodes, self.edges, self.ambiguities)
+
     def validate(self) -> DataFrame:
         return validate.validate(self.nodes, self.edges, self.ambiguities)
 
@@ -177,20 +217,29 @@ def _ordered(df: DataFrame, ranks: DataFrame, path: str, place: str) -> DataFram
     return df.join(ranks, F.col(path) == F.col("ranked")).withColumn("seq", seq).drop("rank", "ranked", path, place)
 
 
-def _fragment(language: str, files: DataFrame, compat: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, edges, ambiguities) with seq, for one language."""
+def _fragment(language: str, files: DataFrame, compat: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, ambiguities) with seq, and log, for one language."""
+    unread = files.where("error IS NOT NULL").select("path", "error") if "error" in files.columns else files.select("path", F.lit(None).cast("string").alias("error")).where("false")
+    files = files.where("content IS NOT NULL").select("path", "content")
     ranks = spool(_ranks(files), "ranks")
+    told = lambda df: df.select(F.lit(language).alias("language"), "path", "error")
     if language == "python":
         found = spool(extract_python.extract(files, compat), "python")
         part = lambda c: _ordered(found.select("path", F.posexplode(c).alias("at", "x")), ranks, "path", "at").select("seq", "x.*")
-        return part("nodes"), part("edges"), part("ambiguities")
+        failed = found.where("log IS NOT NULL").select("path", F.col("log").alias("error"))
+        return part("nodes"), part("edges"), part("ambiguities"), told(unread.unionAll(failed))
     nodes, edges, doubts = extract_html.extract(files, compat) if language == "html" else extract_css.extract(files, compat)
     nodes = _ordered(nodes.withColumn("path", F.substring_index("id", "::", 1)), ranks, "path", "at")
     if language == "html":
         edges = edges.withColumn("at", F.col("first.at") * extract_html.RULES + F.col("first.rank")).drop("first")
     edges = _ordered(edges.withColumn("path", F.col("`from`")), ranks, "path", "at")
-    return nodes, edges, doubts.withColumn("seq", F.lit(0).cast("long"))
+    return nodes, edges, doubts.withColumn("seq", F.lit(0).cast("long")), told(unread)
 
 
-def load_or_build(spark: SparkSession, saved: str, root: str) -> CodeGraph:
-    return CodeGraph.load(spark, saved) if Path(saved).exists() else CodeGraph.build(spark, root)
+def _governed(rule_set: tuple[rules.Rule, ...], frameworks: tuple[str, ...] | None, gate: bool) -> tuple[rules.Rule, ...]:
+    if frameworks is not None:
+        rule_set = tuple(r for r in rule_set if r.framework in frameworks)
+    wrong = [x for x in rules.check_rules(rule_set, NODE_TYPES) if x[0] == "error"] if gate else ()
+    if wrong:
+        raise GovernanceError("; ".join(f"{place}: {problem}" for _, place, problem in wrong))
+    return rule_set

@@ -175,6 +175,8 @@ def _usable(nodes: DataFrame) -> DataFrame:
 
 def roles(nodes: DataFrame, edges: DataFrame, ambiguities: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, loose: bool = True, compat: bool = False) -> DataFrame:
     """(id, semantic_roles) of the nodes that have a role; each role once, in the order of the rules."""
+    if not rules:
+        return nodes.sparkSession.createDataFrame([], "id string, semantic_roles array<string>")
     matcher = Matcher(_usable(nodes), edges, ambiguities, loose)
     hits = reduce(DataFrame.unionAll, (matcher.matches(r, compat).select("id", F.lit(i).alias("rule"), F.lit(r.role).alias("role")) for i, r in enumerate(rules)))
     first = hits.groupBy("id", "role").agg(F.min("rule").alias("rule"))

@@ -128,15 +128,6 @@ def scan_files(spark: SparkSession, root: str, pattern: str = "*.py", folders: t
     return found.select(F.substring("path", F.lit(len(base) + 1), F.length("path")).alias("path"), language.alias("language"), "n_bytes", *(("content", "error") if content else ()))
 
 
-def load_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
-    """A whole JSON document per file; None if there is none."""
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath):
-        return None
-    reader = spark.read.option("multiLine", True)
-    return (reader.schema(schema) if schema else reader).json(path)
-
-
 def file_lines(files: DataFrame) -> DataFrame:
     """(path, line, text), lines from 1."""
     return files.select("path", F.posexplode(F.split("content", "\n")).alias("at", "text")).select("path", (F.col("at") + 1).alias("line"), "text")

@@ -2,7 +2,8 @@
 
 Each batch makes one version of the graph: files that came replace those of the same path, a null
 content removes one, and nodes of files that didn't change keep their roles.  A version is named by its
-batch, so a batch that runs again after a failure writes the same version again.
+batch, so a batch that runs again after a failure writes the same version again.  The last ``KEPT``
+versions stay.  A batch without changes makes no new graph.
 """
 
 from __future__ import annotations
@@ -12,9 +13,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..graph import CodeGraph
 from ..operators.rules import RULES, Rule
-
+from ..sources.shared import spool
 
 LANGUAGES = ("css", "html", "python")
+KEPT = 3
 
 
 def _versions(spark: SparkSession, path: str) -> list[int]:
@@ -37,24 +39,29 @@ def latest(spark: SparkSession, path: str) -> CodeGraph | None:
 
 def absorb(batch: DataFrame, number: int, path: str, rules: tuple[Rule, ...] = RULES) -> None:
     """One batch of (language, path, content) into the version of that number.  Of equal paths in a
-    batch the greatest content counts; rows without path or language are left out; where no file of
-    a known language is left there is no version."""
+    batch the greatest content counts; rows without path or of no known language are left out; where no
+    file is left the version is an empty graph."""
     spark = batch.sparkSession
-    came = batch.where("path IS NOT NULL AND language IS NOT NULL").groupBy("language", "path").agg(F.max("content").alias("content"))
+    came = batch.where(F.col("path").isNotNull() & F.col("language").isin(*LANGUAGES)).groupBy("language", "path").agg(F.max("content").alias("content"))
     before = [v for v in _versions(spark, path) if v < number]
     out = f"{path}/v{number}"
-    files = came
+    files = came.where("content IS NOT NULL")
     if before:
-        files = spark.read.parquet(f"{path}/v{before[-1]}/files").join(came, ["language", "path"], "left_anti").unionByName(came)
-    files.where("content IS NOT NULL").write.mode("overwrite").parquet(f"{out}/files")
+        known = spark.read.parquet(f"{path}/v{before[-1]}/files")
+        came = spool(came, "came")
+        same = came.join(known.withColumnRenamed("content", "had"), ["language", "path"], "left").where(~F.col("content").eqNullSafe(F.col("had")))
+        if same.isEmpty():
+            return
+        files = known.join(came, ["language", "path"], "left_anti").unionByName(came.where("content IS NOT NULL"))
+    files.write.mode("overwrite").parquet(f"{out}/files")
     files = spark.read.parquet(f"{out}/files")
-    known = [r.language for r in files.select("language").distinct().where(F.col("language").isin(*LANGUAGES)).orderBy("language").collect()]
-    if not known:
-        return
-    graph = CodeGraph.from_files({k: files.where(F.col("language") == k).select("path", "content") for k in known})
+    graph = CodeGraph.from_files({k: files.where(F.col("language") == k).select("path", "content") for k in LANGUAGES})
     old = CodeGraph.load(spark, f"{path}/v{before[-1]}") if before else None
     (graph.enrich_from(old, rules) if old else graph.enrich(rules)).save(out)
     spark.range(1).write.mode("overwrite").parquet(f"{out}/whole")
+    for v in before[: -KEPT + 1]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{v}")
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def follow(files: DataFrame, path: str, checkpoint: str, rules: tuple[Rule, ...] = RULES, **trigger) -> StreamingQuery:
