@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import need, read, spool
-from .token_counts import VOCABULARY, count, encoding
+from .token_counts import VOCABULARY, Vocabulary, count
 
 ROLES = ("system", "user", "assistant", "tool")
 #: Characters after which a conversation goes on in another row.
@@ -59,10 +59,10 @@ class Visitor:
     patch, unknown_image, audio_rate, page_tokens = 28, 256, 25, 512
 
     def __init__(self, vocabulary: str = VOCABULARY) -> None:
-        self.vocabulary = vocabulary
+        self.vocabulary = Vocabulary(vocabulary)
 
     def n_tokens(self, text: str) -> int:
-        return count(text, encoding(self.vocabulary))
+        return count(text, self.vocabulary.encoding())
 
     def text(self, part: dict) -> Piece:
         text = _text(part["text"]) if part.get("text") is not None else ""

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +30,26 @@ CHUNK, OVERLAP = 32_768, 256
 
 
 @lru_cache(maxsize=4)
+def _encoding(ranks: bytes) -> tiktoken.Encoding:
+    known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=known, special_tokens={})
+
+
+class Vocabulary:
+    """A vocabulary file, read where this is made and sent to the workers with what uses it, so that
+    only the driver needs the file.  It is refused beyond ``most`` bytes."""
+
+    def __init__(self, path: str = VOCABULARY, most: int = 16_000_000) -> None:
+        self.ranks = Path(path).read_bytes()
+        if len(self.ranks) > most:
+            raise ValueError(f"{len(self.ranks)} bytes of vocabulary; {most} at most")
+
+    def encoding(self) -> tiktoken.Encoding:
+        return _encoding(self.ranks)
+
+
 def encoding(path: str = VOCABULARY) -> tiktoken.Encoding:
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return Vocabulary(path).encoding()
 
 
 #: The same in this library's terms, whose \\s holds four control characters more.
@@ -104,8 +121,10 @@ def token_counts(docs: DataFrame, path: str = VOCABULARY, chunk: int = CHUNK, ov
     ignored; an empty table gives no rows.
     """
 
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
+
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        enc = encoding(path)
+        enc = shared.value.encoding()
         n = [None if t is None else count(t, enc, chunk, overlap) for t in b.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
 
@@ -114,4 +133,5 @@ def token_counts(docs: DataFrame, path: str = VOCABULARY, chunk: int = CHUNK, ov
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """token_counts() of all documents."""
     return token_counts(read(spark, sf_dir, "documents"))
