@@ -82,13 +82,22 @@ class CodeGraph:
         raise FileNotFoundError(path)
 
     def export_json(self, path: str) -> None:
-        """One JSON document {nodes, edges, ambiguities}, for exchange; it has to fit in one task."""
-        one = None
-        for name in ("nodes", "edges", "ambiguities"):
+        """One JSON document {ambiguities, edges, nodes} with sorted keys, for exchange: one file, which
+        one task writes line by line from sorted partitions, so it needs no memory of the graph's size."""
+        spark, out = self.nodes.sparkSession, None
+        for i, name in enumerate(sorted(_PARTS)):
             df = getattr(self, name)
-            packed = df.agg(F.collect_list(F.struct(*df.columns)).alias(name))
-            one = packed if one is None else one.crossJoin(packed)
-        one.select(F.to_json(F.struct("nodes", "edges", "ambiguities")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+            body = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
+            rows = df.select(F.lit(2 * i + 1).alias("part"), F.col("seq").cast("long").alias("seq") if "seq" in df.columns else F.lit(0).cast("long").alias("seq"), body.alias("value"))
+            first = rows.agg(F.min(F.struct("seq", "value")).alias("first"))
+            comma = F.when(F.struct("seq", "value") == F.col("first"), "").otherwise(",")
+            rows = rows.distinct().crossJoin(F.broadcast(first)).select("part", "seq", F.concat(comma, "value").alias("value"))
+            opened = spark.createDataFrame([(2 * i, 0, f'{"]," if i else "{"}"{name}":[')], "part int, seq long, value string")
+            out = opened.unionAll(rows) if out is None else out.unionAll(opened).unionAll(rows)
+        out = out.unionAll(spark.createDataFrame([(2 * len(_PARTS), 0, "]}")], "part int, seq long, value string"))
+        # Of one seq the row without a comma comes first.
+        out.orderBy("part", "seq", F.col("value").startswith(","), "value").select("value").coalesce(1).write.mode("overwrite").text(path)
+
 
     @classmethod
     def import_json(cls, spark: SparkSession, path: str) -> "CodeGraph":

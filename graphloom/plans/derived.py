@@ -180,6 +180,19 @@ def python_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return modules.unionAll(served.select(F.lit("lib/suppliers.py"), F.concat(F.lit("def serve(key):\n    return key\n\n\n"), "body")))
 
 
+_SCOPED = [
+    '"""About K."""', "x = 1", "x = 2", "", "", "def g():", "    y = 1", "    y = 2", "    return y", "", "", "class C:", "    z = 1", "    z: int = 2", "", "    def m(self, g, b=K) -> int:",
+    '        """Method K."""', "        self.n()", "        return g()", "", "    @staticmethod", '    def n(c="t"):', "        g()", "",
+]
+
+
+def scoped_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): a module for each supplier with names that are bound twice, looked up from inner
+    scopes and hidden by parameters."""
+    lines = ", ".join(f"'{line}'" for line in _SCOPED)
+    return table(spark, sf_dir, f"SELECT 'mods/m' || CAST(s_suppkey AS STRING) || '.py' AS path, replace(concat_ws(chr(10), {lines}), 'K', CAST(s_suppkey AS STRING)) AS content FROM supplier")
+
+
 def css_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, content): a stylesheet for each brand with a class and an id for each part."""
     parts = table(spark, sf_dir, "SELECT lower(p_brand) AS brand, p_partkey AS k, p_size AS z FROM part")

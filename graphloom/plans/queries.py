@@ -398,6 +398,11 @@ def equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.equivalence((D.nodes(spark, sf_dir), D.edges(spark, sf_dir), doubts), (D.nodes(spark, sf_dir, D.OTHER_NODES), D.edges(spark, sf_dir, D.OTHER_EDGES), doubts))
 
 
+@register("first_violations", f"{_E} SELECT violation, detail FROM ({_CHANGED} UNION ALL SELECT 'edge_removed', source || ' ' || type || ' ' || target FROM ({_GONE}) UNION ALL SELECT 'edge_added', source || ' ' || type || ' ' || target FROM ({_NEW}) UNION ALL SELECT 'node_count', a || ' ' || b FROM (SELECT (SELECT count(*) FROM nodes) AS a, (SELECT count(*) FROM onodes) AS b) WHERE a <> b) ORDER BY violation, detail LIMIT 5")
+def first_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.first_violations(equivalence(spark, sf_dir))
+
+
 # ---- roles ---------------------------------------------------------------------------------
 
 _R = _with(nodes=D.NODES, edges=D.ROLE_EDGES, ambs=D.AMBIGUITIES)
@@ -589,6 +594,29 @@ def py_ambiguities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.explode("ambiguities").alias("a")).select("a.kind", "a.source_scope", "a.expression")
 
 
+def _scoped(*rows: tuple[str, ...]) -> str:
+    return " UNION ALL ".join(f"SELECT {', '.join(r)} FROM (SELECT 'mods/m' || s_suppkey || '.py' AS p, s_suppkey AS k FROM supplier)" for r in rows)
+
+
+@register("py_details", _scoped(
+    ("p AS id", "'File' AS node_type", "NULL::INT AS line_start", "NULL::INT AS line_end", "'About ' || k || '.' AS docstring", "NULL AS args", "NULL AS defaults", "NULL AS decorators", "NULL AS returns"),
+    ("p || '::x'", "'Variable'", "2", "2", "NULL", "NULL", "NULL", "NULL", "NULL"), ("p || '::g'", "'Function'", "6", "9", "NULL", "''", "''", "''", "NULL"), ("p || '::g::y'", "'Variable'", "7", "7", "NULL", "NULL", "NULL", "NULL", "NULL"),
+    ("p || '::C'", "'Class'", "12", "23", "NULL", "NULL", "NULL", "NULL", "NULL"), ("p || '::C::z'", "'Variable'", "13", "13", "NULL", "NULL", "NULL", "NULL", "NULL"),
+    ("p || '::C::m'", "'Method'", "16", "19", "'Method ' || k || '.'", "'self,g,b'", "CAST(k AS VARCHAR)", "''", "'int'"), ("p || '::C::n'", "'Method'", "22", "23", "NULL", "'c'", "'t'", "'@staticmethod'", "NULL")))
+def py_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, docstrings and signatures; of variables that are bound twice the first."""
+    found = extract_python.fragments(D.scoped_files(spark, sf_dir)).select(F.explode("nodes").alias("n"))
+    listed = (F.array_join(F.col(f"n.signature.{c}"), ",").alias(c) for c in ("args", "defaults", "decorators"))
+    return found.select("n.id", "n.node_type", "n.line_start", "n.line_end", "n.docstring", *listed, "n.signature.returns")
+
+
+@register("py_scopes", _scoped(("'calls' AS edge", "p || '::C::m' AS source", "p || '::C::n' AS target", "18 AS call_line"), ("'calls'", "p || '::C::n'", "p || '::g'", "23"), ("'writes_to'", "p || '::g'", "p || '::g::y'", "NULL"), ("'writes_to'", "p || '::g'", "p || '::g::y'", "NULL")))
+def py_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names are those of the nearest scope; a parameter hides the function of its name."""
+    found = extract_python.extract(D.scoped_files(spark, sf_dir)).select(F.explode("edges").alias("e")).where("e.edge IN ('calls', 'writes_to')")
+    return found.select("e.edge", F.col("e.from").alias("source"), F.col("e.to").alias("target"), "e.call_line")
+
+
 @register("html_links", "SELECT page_id, h AS href FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS h FROM pages)")
 def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of anchors; of the parser's view only those that a script's text can't hold."""

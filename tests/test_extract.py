@@ -1,5 +1,6 @@
 """Extractors over source files of our own; counts by kind are worked out by hand."""
 
+import json
 from collections import Counter
 
 import pytest
@@ -205,6 +206,10 @@ def test_whole_graph(spark, tree, tmp_path):
     assert {r.status for r in again.diff(rich).collect()} <= {"UNCHANGED", "MODIFIED"}
     rich.export_json(str(tmp_path / "json"))
     back = CodeGraph.import_json(spark, str(tmp_path / "json"))
+    (whole,) = (tmp_path / "json").glob("*.txt")
+    doc = json.loads(whole.read_text())
+    assert list(doc) == ["ambiguities", "edges", "nodes"] and all(list(x) == sorted(x) for part in doc.values() for x in part)
+    assert len(doc["nodes"]) == len(ids) and [n["seq"] for n in doc["nodes"]] == sorted(n["seq"] for n in doc["nodes"])
     assert back.nodes.count() == len(ids) and back.edges.count() == g.edges.count()
     assert again.read("a.py::Shape::area").first().content.startswith("    def area")
     assert again.search("decorator:helper").count() >= 2
