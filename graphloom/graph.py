@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from .operators import diff, extract_css, extract_html, extract_python, merge, overlay, query, rules, traverse, validate
 from .schema import AMBIGUITY, NODE_TYPES, SIGNATURE
 from .sources.files import EXCLUDED_FOLDERS, LANGUAGES, scan_files
-from .sources.shared import spool
+from .sources.shared import scratch, spool
 
 _NODE = f"seq long, id string, node_type string, name string, file_path string, hash string, line_start int, line_end int, docstring string, is_async boolean, analysis_confidence string, signature {SIGNATURE}, attributes map<string,string>, semantic_roles array<string>"
 #: Places in a file and files in a fragment that seq has room for; what is left is for fragments.
@@ -43,11 +43,18 @@ class CodeGraph:
         return cls.from_files(files, compat)
 
     @classmethod
-    def from_files(cls, files: dict[str, DataFrame], compat: bool = False, fragments: str | None = None) -> "CodeGraph":
+    def from_files(cls, files: dict[str, DataFrame], compat: bool = False, fragments: str | None = None, parsed: str | None = None, before: str | None = None) -> "CodeGraph":
         """files: language -> (path, content) and, where known, error.  The graph is written to the shared
         folder, so that sources are read and parsed once, whatever is asked of it.  fragments: a folder
-        in which each language's part is kept as it was before merging."""
-        parts = {language: _fragment(language, f, compat) for language, f in files.items()}
+        in which each language's part is kept as it was before merging.  parsed: a folder for what the
+        parsers gave; with that of an earlier graph as before, only files that changed are parsed."""
+        with scratch():
+            return cls._merged(files, compat, fragments, parsed, before)
+
+    @classmethod
+    def _merged(cls, files: dict[str, DataFrame], compat: bool, fragments: str | None, parsed: str | None, before: str | None) -> "CodeGraph":
+        at = lambda folder, language: folder and f"{folder}/{language}"
+        parts = {language: _fragment(language, f, compat, at(parsed, language), at(before, language)) for language, f in files.items()}
         if fragments:
             for language, p in parts.items():
                 for name, df in zip((*_PARTS, "log"), p):
@@ -64,7 +71,8 @@ class CodeGraph:
             every = own if every is None else every.unionAll(own)
             log = parts[language][3] if log is None else log.unionAll(parts[language][3])
         meta = nodes.sparkSession.createDataFrame([("graphloom", list(files), False)], _META)
-        return cls(spool(nodes, "nodes"), spool(order(edges), "edges"), spool(doubts.drop("fragment", "seq"), "ambiguities"), every, spool(log, "log"), meta)
+        keep = lambda df, name: spool(df, name, keep=True)
+        return cls(keep(nodes, "nodes"), keep(order(edges), "edges"), keep(doubts.drop("fragment", "seq"), "ambiguities"), every, keep(log, "log"), meta)
 
     def save(self, path: str) -> None:
         for name in (*_PARTS, "log", "meta"):
@@ -226,18 +234,20 @@ def _ordered(df: DataFrame, ranks: DataFrame, path: str, place: str) -> DataFram
     return df.join(ranks, F.col(path) == F.col("ranked")).withColumn("seq", seq).drop("rank", "ranked", path, place)
 
 
-def _fragment(language: str, files: DataFrame, compat: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _fragment(language: str, files: DataFrame, compat: bool, parsed: str | None, before: str | None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, ambiguities) with seq, and log, for one language."""
     unread = files.where("error IS NOT NULL").select("path", "error") if "error" in files.columns else files.select("path", F.lit(None).cast("string").alias("error")).where("false")
     files = files.where("content IS NOT NULL").select("path", "content")
     ranks = spool(_ranks(files), "ranks")
     told = lambda df: df.select(F.lit(language).alias("language"), "path", "error")
     if language == "python":
-        found = spool(extract_python.extract(files, compat), "python")
+        found = extract_python.extract(files, compat, _read(files, before, "rows"))
+        found = _written(found, parsed, "rows") if parsed else spool(found, "python")
         part = lambda c: _ordered(found.select("path", F.posexplode(c).alias("at", "x")), ranks, "path", "at").select("seq", "x.*")
         failed = found.where("log IS NOT NULL").select("path", F.col("log").alias("error"))
         return part("nodes"), part("edges"), part("ambiguities"), told(unread.unionAll(failed))
-    nodes, edges, doubts = extract_html.extract(files, compat) if language == "html" else extract_css.extract(files, compat)
+    parse, extract = (extract_html.tags, extract_html.extract) if language == "html" else (lambda f: extract_css.selectors(f, compat), extract_css.extract)
+    nodes, edges, doubts = extract(files, compat, _rows(files, parse, parsed, before) if parsed else None)
     nodes = _ordered(nodes.withColumn("path", F.substring_index("id", "::", 1)), ranks, "path", "at")
     if language == "html":
         edges = edges.withColumn("at", F.col("first.at") * extract_html.RULES + F.col("first.rank")).drop("first")
@@ -245,6 +255,26 @@ def _fragment(language: str, files: DataFrame, compat: bool) -> tuple[DataFrame,
     return nodes, edges, doubts.withColumn("seq", F.lit(0).cast("long")), told(unread)
 
 
+def _written(df: DataFrame, folder: str, name: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(f"{folder}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
+def _read(df: DataFrame, folder: str | None, name: str) -> DataFrame | None:
+    return None if folder is None else df.sparkSession.read.parquet(f"{folder}/{name}")
+
+
+def _rows(files: DataFrame, parse, parsed: str, before: str | None) -> DataFrame:
+    """What a parser gives for the files; of files that are as they were before, what it gave then."""
+    own = files.select("path", "content", F.md5(F.encode("content", "UTF-8")).alias("digest"))
+    listed = _written(own.select("path", "digest"), parsed, "files")
+    if before is None:
+        return _written(parse(files), parsed, "rows")
+    same = listed.join(_read(files, before, "files"), ["path", "digest"], "left_semi").select("path")
+    kept = _read(files, before, "rows").join(same, "path", "left_semi")
+    return _written(parse(files.join(same, "path", "left_anti")).unionByName(kept), parsed, "rows")
+
+
 def _governed(rule_set: tuple[rules.Rule, ...], frameworks: tuple[str, ...] | None, gate: bool) -> tuple[rules.Rule, ...]:
     if frameworks is not None:
         rule_set = tuple(r for r in rule_set if r.framework in frameworks)

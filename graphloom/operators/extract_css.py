@@ -124,9 +124,10 @@ def ambiguities(files: DataFrame) -> DataFrame:
     return _own(files).select("path", F.posexplode(every).alias("at", "a")).select("path", "at", "a.kind", "a.expression")
 
 
-def extract(files: DataFrame, compat: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, edges, ambiguities); of equal ids the first one stays, with its pseudo state."""
-    each = selectors(files, compat).withColumn("id", F.concat_ws("::", "path", "node_type", "name"))
+def extract(files: DataFrame, compat: bool = False, found: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, ambiguities); of equal ids the first one stays, with its pseudo state.  found:
+    selectors() of the files, where that is known."""
+    each = (selectors(files, compat) if found is None else found).withColumn("id", F.concat_ws("::", "path", "node_type", "name"))
     each = each.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("at"))).where("nth = 1")
     state = F.when(F.col("pseudo_state").isNotNull(), F.create_map(F.lit("pseudo_state"), "pseudo_state"))
     sheets = _own(files).select(

@@ -99,10 +99,11 @@ def links(found: DataFrame, compat: bool = False) -> DataFrame:
     )
 
 
-def extract(files: DataFrame, compat: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def extract(files: DataFrame, compat: bool = False, found: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, ambiguities) of the templates in files (path, content). Node ids belong to
-    their file; of equal ids and equal edges the first one of the page stays."""
-    met = links(tags(files), compat)
+    their file; of equal ids and equal edges the first one of the page stays.  found: tags() of the files,
+    where that is known."""
+    met = links(tags(files) if found is None else found, compat)
     real = met.where("outcome = 'edge'").withColumn("id", F.concat_ws("::", "path", "target_type", "value"))
     first = Window.partitionBy("id").orderBy("at", "rank")
     inner = real.withColumn("nth", F.row_number().over(first)).where("nth = 1")

@@ -362,7 +362,7 @@ def environment(first: DataFrame) -> DataFrame:
     """(path, modules, known) for each file that imports a known module: which modules its requests are,
     and the types of those of the names asked for that there are."""
     asked = first.select("path", F.explode("wanted").alias("w")).select("path", "w.guess", "w.exact", "w.names")
-    found = resolve_modules(asked.select("path", "guess", "exact").distinct(), first.where("log IS NULL").select(F.col("path").alias("module")))
+    found = resolve_modules(asked.select("path", "guess", "exact").distinct(), first.where("log IS NULL OR startswith(log, 'references:')").select(F.col("path").alias("module")))
     # Ids that occur twice (a function that is defined again) have the type of the last one.
     symbols = first.select(F.posexplode("nodes").alias("at", "n")).groupBy(F.col("n.id").alias("id")).agg(F.max_by("n.node_type", "at").alias("kind"))
     names = asked.join(found, ["path", "guess", "exact"]).select("path", F.explode(F.concat(F.array("module"), F.transform("names", lambda n: F.concat("module", F.lit("::"), n)))).alias("id")).distinct()
@@ -371,11 +371,29 @@ def environment(first: DataFrame) -> DataFrame:
     return modules.join(known, "path", "left")
 
 
-def extract(files: DataFrame, compat: bool = False) -> DataFrame:
-    """Both passes over (path, content): path, nodes, edges, ambiguities, log."""
-    first = spool(fragments(files), "definitions")
-    ready = first.drop("wanted").join(files.select("path", "content"), "path").join(environment(first), "path", "left").select("path", "content", "nodes", "edges", "ambiguities", "log", "modules", "known")
-    ddl = f"path string, {FRAGMENT}"
+def extract(files: DataFrame, compat: bool = False, known: DataFrame | None = None) -> DataFrame:
+    """Both passes over (path, content): path, nodes, edges, ambiguities, log, and what tells whether that
+    still holds: digest of the content, wanted, env (digest of the answers to it).
+
+    known: what an earlier run gave.  Files that are the same, and whose imports mean the same, are taken
+    from there and not parsed again."""
+    own = files.where("path IS NOT NULL AND content IS NOT NULL").select("path", "content", F.md5(F.encode("content", "UTF-8")).alias("digest"))
+    if known is None:
+        fresh = first = spool(fragments(own), "definitions")
+    else:
+        same = known.join(own.select("path", "digest"), ["path", "digest"], "left_semi").select("path", "nodes", "log", "wanted")
+        fresh = spool(fragments(own.join(same.select("path"), "path", "left_anti")), "definitions")
+        first = spool(same.unionAll(fresh.select(same.columns)), "definitions")
+    answers = environment(first).withColumn("env", F.md5(F.to_json(F.struct(F.array_sort("modules"), F.array_sort("known")))))
+    asked = own.join(answers, "path", "left").withColumn("env", F.coalesce("env", F.lit("")))
+    taken = None
+    if known is not None:
+        asked = spool(asked, "asked")
+        taken = known.join(asked.select("path", "digest", "env"), ["path", "digest", "env"], "left_semi")
+        asked = asked.join(taken.select("path"), "path", "left_anti")
+        fresh = fresh.unionByName(fragments(asked.join(fresh.select("path"), "path", "left_anti")))
+    more = "digest string, env string, wanted array<struct<guess:string,exact:boolean,names:array<string>>>"
+    ddl = f"path string, {FRAGMENT}, {more}"
     schema = to_arrow_schema(_parse_datatype_string(ddl))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
@@ -395,4 +413,5 @@ def extract(files: DataFrame, compat: bool = False) -> DataFrame:
                 rows.append({k: r[k] for k in schema.names})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return ready.mapInArrow(run, ddl)
+    out = fresh.join(asked, "path").mapInArrow(run, ddl)
+    return out if taken is None else out.unionByName(taken.select(out.columns))

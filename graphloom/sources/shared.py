@@ -5,10 +5,14 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_scratch: ContextVar[list[DataFrame] | None] = ContextVar("scratch", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,13 +25,28 @@ def shared_dir(spark: SparkSession) -> str:
     return _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="graphloom-"))
 
 
-def spool(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that are spooled within are deleted at the end, but for those with keep."""
+    own: list[DataFrame] = []
+    token = _scratch.set(own)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        for df in own:
+            unspool(df)
+
+
+def spool(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write df as a table in the shared folder and read it again: it cuts lineage, and what was
     computed survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/graphloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._spooled_at = path
+    if not keep and (own := _scratch.get()) is not None:
+        own.append(out)
     return out
 
 

@@ -3,7 +3,8 @@
 Each batch makes one version of the graph: files that came replace those of the same path, a null
 content removes one, and nodes of files that didn't change keep their roles.  A version is named by its
 batch, so a batch that runs again after a failure writes the same version again.  The last ``KEPT``
-versions stay.  A batch without changes makes no new graph.
+versions stay.  A batch without changes makes no new graph; otherwise only files that came, and Python
+files whose imports mean something else now, are parsed.
 """
 
 from __future__ import annotations
@@ -55,7 +56,7 @@ def absorb(batch: DataFrame, number: int, path: str, rules: tuple[Rule, ...] = R
         files = known.join(came, ["language", "path"], "left_anti").unionByName(came.where("content IS NOT NULL"))
     files.write.mode("overwrite").parquet(f"{out}/files")
     files = spark.read.parquet(f"{out}/files")
-    graph = CodeGraph.from_files({k: files.where(F.col("language") == k).select("path", "content") for k in LANGUAGES})
+    graph = CodeGraph.from_files({k: files.where(F.col("language") == k).select("path", "content") for k in LANGUAGES}, parsed=f"{out}/parsed", before=f"{path}/v{before[-1]}/parsed" if before else None)
     old = CodeGraph.load(spark, f"{path}/v{before[-1]}") if before else None
     (graph.enrich_from(old, rules) if old else graph.enrich(rules)).save(out)
     spark.range(1).write.mode("overwrite").parquet(f"{out}/whole")

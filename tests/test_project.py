@@ -166,6 +166,46 @@ def test_removing_the_last_file_leaves_an_empty_graph(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "graph").iterdir()) == ["v4", "v5", "v6"]
 
 
+def test_only_what_changed_is_parsed(spark, tmp_path, monkeypatch):
+    """Files that came are parsed, and those whose imports mean something else; the graph is that of all."""
+    from graphloom.operators import extract_css, extract_html, extract_python
+
+    ddl = "path string, content string"
+    a, b, c = "def f():\n    pass\n", "from a import f\n\n\ndef g():\n    f()\n", "x = 1\n"
+    one = {"python": [("a.py", a), ("b.py", b), ("c.py", c)], "html": [("p.html", '<a href="/x">x</a>'), ("q.html", '<a href="/y">y</a>')], "css": [("s.css", ".a { }"), ("t.css", ".b { }")]}
+    two = {"python": [("a.py", "def other():\n    pass\n"), ("b.py", b), ("c.py", c), ("d.py", "y = 1\n")], "html": [("p.html", '<a href="/z">x</a>'), ("q.html", '<a href="/y">y</a>')], "css": [("t.css", ".b { }"), ("u.css", "#c { }")]}
+    table = lambda part: {k: spark.createDataFrame(rows, ddl) for k, rows in part.items()}
+    came: dict[str, list] = {}
+
+    def seen(module, name, label):
+        real = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda files, *more: came.setdefault(label, []).extend(r.path for r in files.select("path").collect()) or real(files, *more))
+
+    CodeGraph.from_files(table(one), parsed=str(tmp_path / "1"))
+    seen(extract_python, "fragments", "python"), seen(extract_html, "tags", "html"), seen(extract_css, "selectors", "css")
+    again = CodeGraph.from_files(table(two), parsed=str(tmp_path / "2"), before=str(tmp_path / "1"))
+    assert {k: sorted(v) for k, v in came.items()} == {"python": ["a.py", "b.py", "d.py"], "html": ["p.html"], "css": ["u.css"]}
+    monkeypatch.undo()
+    want = CodeGraph.from_files(table(two))
+    for part in ("nodes", "edges", "ambiguities"):
+        rows = lambda g: sorted(map(str, getattr(g, part).select(sorted(getattr(want, part).columns)).collect()))  # noqa: B023, E731
+        assert rows(again) == rows(want), part
+    third = CodeGraph.from_files(table(two), parsed=str(tmp_path / "3"), before=str(tmp_path / "2"))
+    assert sorted(r.id for r in third.nodes.collect()) == sorted(r.id for r in want.nodes.collect())
+
+
+def test_scratch_tables_go(spark, tmp_path):
+    from graphloom.sources.shared import scratch, shared_dir, spool
+
+    with scratch():
+        gone, kept = spool(spark.range(3), "gone-test"), spool(spark.range(3), "kept-test", keep=True)
+        assert gone.count() == kept.count() == 3
+    from pathlib import Path
+
+    left = {p.name[:9] for p in Path(shared_dir(spark).removeprefix("file://"), "graphloom").iterdir()}
+    assert "kept-test" in left and "gone-test" not in left
+
+
 def test_sessions(spark, tmp_path):
     at = str(tmp_path / "log")
     session.log_session(spark, at, "2026-01-01T00:00:00Z", {"build_runtime_ast": "pass"}, "ci", {"raw_ast": "x"}, "code_edit", ("views.py",), "paging")
