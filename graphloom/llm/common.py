@@ -40,7 +40,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataF
     found = need(docs, "doc_id", "text").where("text IS NOT NULL").join(F.broadcast(picked), F.col("doc_id") == F.col("id"))
     each = found.groupBy(label, "text").agg(F.min("doc_id").alias("doc_id"))
     out = [each.where(F.col(label) == k).orderBy(F.xxhash64("doc_id"), F.xxhash64("text"), "text").limit(rows) for k in (0, 1)]
-    return out[0].unionAll(out[1]).select("doc_id", label, "text")
+    # A limit leaves one partition; what is done with the sample is for all cores.
+    return out[0].unionAll(out[1]).select("doc_id", label, "text").repartition(docs.sparkSession.sparkContext.defaultParallelism)
 
 
 def by_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch | None], rows: int = 1024) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
