@@ -12,7 +12,8 @@ from contextvars import ContextVar
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
-_scratch: ContextVar[list[DataFrame] | None] = ContextVar("scratch", default=None)
+#: Tables of each open scratch(), the innermost last.
+_scratch: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("scratch", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,9 +28,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 @contextmanager
 def scratch() -> Iterator[None]:
-    """Tables that are spooled within are deleted at the end, but for those with keep."""
+    """Tables that are spooled within are deleted at the end; those with keep belong to the scratch
+    around this one, if there is one.  Only for results that are written within."""
     own: list[DataFrame] = []
-    token = _scratch.set(own)
+    token = _scratch.set((*_scratch.get(), own))
     try:
         yield
     finally:
@@ -45,8 +47,8 @@ def spool(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._spooled_at = path
-    if not keep and (own := _scratch.get()) is not None:
-        own.append(out)
+    if scopes := _scratch.get()[: -1 if keep else None]:
+        scopes[-1].append(out)
     return out
 
 

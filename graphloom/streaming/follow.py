@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..graph import CodeGraph
 from ..operators.rules import RULES, Rule
-from ..sources.shared import spool
+from ..sources.shared import scratch, spool
 
 LANGUAGES = ("css", "html", "python")
 KEPT = 3
@@ -42,6 +42,11 @@ def absorb(batch: DataFrame, number: int, path: str, rules: tuple[Rule, ...] = R
     """One batch of (language, path, content) into the version of that number.  Of equal paths in a
     batch the greatest content counts; rows without path or of no known language are left out; where no
     file is left the version is an empty graph."""
+    with scratch():
+        _absorb(batch, number, path, rules)
+
+
+def _absorb(batch: DataFrame, number: int, path: str, rules: tuple[Rule, ...]) -> None:
     spark = batch.sparkSession
     came = batch.where(F.col("path").isNotNull() & F.col("language").isin(*LANGUAGES)).groupBy("language", "path").agg(F.max("content").alias("content"))
     before = [v for v in _versions(spark, path) if v < number]

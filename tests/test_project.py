@@ -200,6 +200,10 @@ def test_scratch_tables_go(spark, tmp_path):
     with scratch():
         gone, kept = spool(spark.range(3), "gone-test"), spool(spark.range(3), "kept-test", keep=True)
         assert gone.count() == kept.count() == 3
+    with scratch():
+        with scratch():
+            outer = spool(spark.range(3), "gone-test-too", keep=True)
+        assert outer.count() == 3
     from pathlib import Path
 
     left = {p.name[:9] for p in Path(shared_dir(spark).removeprefix("file://"), "graphloom").iterdir()}
