@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from graphloom.llm import decontaminate, line_dedup, mixing, quality, simhash
-from graphloom.llm.common import read, spool, unspool
+from graphloom.llm.common import read, scratch, spool, unspool
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +55,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, last = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = spool(stage(spark, docs, sf_dir), name)
+        with scratch():  # what a stage had written on its way goes when its result is written
+            docs = spool(stage(spark, docs, sf_dir), name, keep=True)
         if last is not None:
             unspool(last)
         last = docs
