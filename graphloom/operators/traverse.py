@@ -2,7 +2,8 @@
 
 A walk is a loop of joins between the frontier and the edges.  Each hop keeps one row per node, so
 the frontier never outgrows the nodes; hops are written to the shared folder, so a walk's plan stays
-as long as one hop's and lost executors cost no more than a hop.
+as long as one hop's and lost executors cost no more than a hop.  Edges are read for each hop, not
+copied: a graph that was built or loaded has them as a table.
 """
 
 from __future__ import annotations
@@ -24,8 +25,6 @@ def reach(edges: DataFrame, start: str, depth: int, reverse: bool = False) -> Da
     result if a cycle leads back to it."""
     here, there = ("target", "source") if reverse else ("source", "target")
     own = edges.select(F.col(here).alias("here"), F.col(there).alias("there"), "type", "seq").where("there IS NOT NULL")
-    if depth > 1:
-        own = spool(own, "steps")  # what edges are derived from is read once, not for each hop
     hops: list[DataFrame] = []
     for k in range(1, depth + 1):
         met = own.where(F.col("here") == start) if k == 1 else own.join(hops[-1].select(F.col("id").alias("here")), "here")
@@ -38,8 +37,6 @@ def reach(edges: DataFrame, start: str, depth: int, reverse: bool = False) -> Da
                 unspool(hop)
                 break
         hops.append(hop)
-    if depth > 1:
-        unspool(own)
     if not hops:
         return edges.sparkSession.createDataFrame([], "id string, depth int, relation string")
     return reduce(DataFrame.unionAll, hops)
@@ -102,13 +99,13 @@ def containment(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, owner): the file that a node belongs to along edges of ownership.  Of several owners the
     nearest counts, then the first by (seq of the owner's file, owner); nodes that no file reaches
     have no row.  It ends when a level owns nothing new, however deep the nesting."""
-    step = spool(edges.where(F.col("type").isin(*OWNERSHIP)).select(F.col("source").alias("here"), F.col("target").alias("there")), "steps")
+    step = edges.where(F.col("type").isin(*OWNERSHIP)).select(F.col("source").alias("here"), F.col("target").alias("there"))
     files = nodes.where("node_type = 'File'").groupBy("id").agg(F.min("seq").alias("rank")).select("id", F.col("id").alias("owner"), "rank")
     found = frontier = spool(files, "owners")
     while True:
         met = step.join(frontier, F.col("here") == F.col("id")).groupBy("there").agg(F.min(F.struct("rank", "owner")).alias("first"))
         frontier = spool(met.select(F.col("there").alias("id"), "first.owner", "first.rank").join(found.select("id"), "id", "left_anti"), "owners")
         if frontier.isEmpty():
-            unspool(frontier), unspool(step)
+            unspool(frontier)
             return found.select("id", "owner")
         found = found.unionAll(frontier)
