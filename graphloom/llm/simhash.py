@@ -1,40 +1,46 @@
-"""Near-duplicate detection by SimHash with deletion-variant signatures.
+"""Near-duplicate detection by SimHash: all pairs of signatures within a Hamming distance, none missed.
 
 A document's features are its distinct lower-case words, weighted by length (short words are
 mostly function words and count little).  Their random-hyperplane signature has ``LANES`` lanes of
 64 bits; ``ORDER_LANES`` more have the distinct pairs of neighbouring words as features.
 
-A signature is cut into ``SEGMENTS`` segments of ``WIDTH`` bits, so few that of two signatures which
-differ in at most ``2 * SEGMENTS - 1`` bits one segment differs by at most one bit.  The index has
-each segment with each of its bits made a wildcard; signatures that share such a variant are
-candidates, and the Hamming distances of the whole signatures decide.  So pairs up to
-``GUARANTEED`` bits are always found.  Beyond, up to ``MAX_BITS``, each segment is one more chance: by
-chance's reckoning 0.9987 are found at 40 bits, 0.987 at 48 and 0.946 at 55; the README has what was measured.
+A signature is cut into ``SEGMENTS`` segments, so many that of two signatures which differ in at most
+``MAX_BITS`` bits one segment differs by at most one bit: with two in each they would differ in more.
+So signatures that agree in a segment but for one bit are candidates, and the Hamming distances of the
+whole signatures decide.  As segments are short (11 or 12 bits), about one pair in seven is
+a candidate; they are not joined but compared array by array in Python.  Few signatures are all compared
+without segments.
 
-Equal signatures are one class before the index is built, so a group of thousands of exact copies
-costs one index entry.  The index is made and joined in ``PASSES``, each of some segments, so no more
-than one pass of it is on disk.
+Equal signatures are one class before that, so a group of thousands of exact copies costs one
+signature.  Signatures are dealt to blocks; a task has two blocks, or one, and some of the segments.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import by_batch, free, need, read, release, spool, unspool
 
-#: Bits of a segment, segments, 64-bit lanes of a signature (they hold WIDTH * SEGMENTS bits), and
-#: passes in which the index is made.
-WIDTH, SEGMENTS, LANES, PASSES = 18, 17, 5, 4
+#: 64-bit lanes of a signature.
+LANES = 5
 #: Bits in which near copies differ at most: over all lanes, in each of them, in the lanes of order.
 MAX_BITS, LANE_BITS, ORDER_LANES, ORDER_BITS = 55, 22, 2, 48
+#: Segments, and the bits of a segment (some have one more).
+SEGMENTS = MAX_BITS // 2 + 1
+WIDTH = LANES * 64 // SEGMENTS
 #: Up to here no pair is missed.
 GUARANTEED = 2 * SEGMENTS - 1
+#: Signatures of a block, tasks that a signature is sent to in one pass (about), pairs compared at once.
+BLOCK, COPIES, AT_ONCE = 1 << 19, 32, 1 << 16
+#: Up to so many signatures all pairs are compared, in blocks of SMALL_BLOCK.
+SMALL, SMALL_BLOCK = 1 << 15, 1 << 12
 WORD = re.compile(r"\w+")
 _WEIGHT = np.array([0, 1, 1, 2, 4, 6, 8, 8], dtype=np.uint64)
 _LANE = [f"s{i}" for i in range(LANES)]
@@ -115,57 +121,136 @@ def classes(own: DataFrame) -> DataFrame:
     return own.groupBy(*_ALL).agg(F.min(F.struct("doc_id", "ht")).alias("first"), F.count(F.lit(1)).alias("n")).withColumn("rep", F.monotonically_increasing_id())
 
 
-def _variants(segments: list[int]):
-    """For mapInArrow over (rep, s0, ...): (key, rep, probe) for each segment and wildcard.  probe is
-    a lane that the segment isn't in, so most chance meetings end in the join."""
-
-    def run(batches):
-        weight = np.zeros((LANES * 64, len(segments)), dtype=np.float32)  # whole numbers up to 2^24 are exact
-        for k, s in enumerate(segments):
-            weight[s * WIDTH : (s + 1) * WIDTH, k] = 2.0 ** np.arange(WIDTH)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                b = whole.slice(at, 2048)
-                lanes = np.stack([b.column(1 + i).to_numpy() for i in range(LANES)], axis=1)
-                bits = np.unpackbits(lanes.view(np.uint8).reshape(len(lanes), -1), axis=1, bitorder="little")
-                values = (bits.astype(np.float32) @ weight).astype(np.int64)
-                for k, s in enumerate(segments):
-                    wild = np.arange(WIDTH, dtype=np.int64)[:, None]
-                    keys = (values[:, k][None, :] & ~(np.int64(1) << wild)) | ((s * WIDTH + wild) << WIDTH)
-                    probe = lanes[:, (s * WIDTH // 64 + 2) % LANES]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.tile(b.column(0).to_numpy(), WIDTH)), pa.array(np.tile(probe, WIDTH))], ["key", "rep", "probe"])
+def _bounds(max_bits: int) -> list[tuple[int, int]]:
+    """First bit of each segment and the bit after its last: so many segments that at max_bits one
+    differs by at most one bit."""
+    n = max(SEGMENTS, max_bits // 2 + 1)
+    return [(s * LANES * 64 // n, (s + 1) * LANES * 64 // n) for s in range(n)]
+
+
+def _value(lanes: list[np.ndarray], low: int, high: int) -> np.ndarray:
+    """The bits from low to before high of each signature."""
+    at, shift = divmod(low, 64)
+    out = lanes[at] >> np.uint64(shift)
+    if high > 64 * (at + 1):
+        out = out | lanes[at + 1] << np.uint64(64 - shift)
+    return out & np.uint64(2 ** (high - low) - 1)
+
+
+def _meetings(left: list[np.ndarray], right: list[np.ndarray], low: int, high: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of signatures of left and right whose bits from low to before high differ in at
+    most one, and that differ in at most LANE_BITS in a lane that the segment isn't in.  same: left is
+    right, each pair comes once."""
+    x, y = _value(left, low, high), _value(right, low, high)
+    by_x, by_y = np.argsort(x, kind="stable"), np.argsort(y, kind="stable")
+    probe = (low // 64 + 2) % LANES
+    of_x, of_y = left[probe][by_x], right[probe][by_y]
+    every = np.arange(2 ** (high - low) + 1, dtype=np.uint64)
+    at_x, at_y = (np.searchsorted(v[by], every).tolist() for v, by in ((x, by_x), (y, by_y)))
+    flips = [0, *(1 << k for k in range(high - low))]
+    bits, hits = np.empty(AT_ONCE, dtype=np.uint64), np.zeros(AT_ONCE, dtype=bool)
+    for v in range(len(every) - 1):
+        runs = [slice(at_y[u], at_y[u + 1]) for u in (v ^ f for f in flips) if at_y[u] < at_y[u + 1] and (u >= v or not same)]
+        if at_x[v] == at_x[v + 1] or not runs:
+            continue
+        there, lane = np.concatenate([by_y[r] for r in runs]), np.concatenate([of_y[r] for r in runs])
+        for c in range(0, len(lane), AT_ONCE):
+            part = lane[c : c + AT_ONCE]
+            rows = AT_ONCE // len(part)
+            for r in range(at_x[v], at_x[v + 1], rows):
+                own = of_x[r : min(r + rows, at_x[v + 1])]
+                n = len(own) * len(part)
+                differ = np.bitwise_xor(own[:, None], part, out=bits[:n].reshape(len(own), len(part)))
+                np.less_equal(np.bitwise_count(differ), LANE_BITS, out=hits[:n].reshape(differ.shape))
+                hits[n : -(-n // 8) * 8] = False
+                eights = hits[: -(-n // 8) * 8]  # few have a hit, so eight are looked at together
+                found = np.flatnonzero(eights.view(np.uint64))
+                e, k = np.nonzero(eights.reshape(-1, 8)[found])
+                i, j = np.divmod(found[e] * 8 + k, len(part))
+                i, j = by_x[r + i], there[c + j]
+                if same:
+                    once = (i < j) | (x[i] != x[j])
+                    i, j = i[once], j[once]
+                if len(i):
+                    yield i, j
+
+
+def _near(left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j: np.ndarray, earlier: list[tuple[int, int]], max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the places (i, j) where near copies are that didn't meet in an earlier segment."""
+    far = np.zeros(len(i), dtype=np.int64)
+    for a, b in zip(left[:LANES], right[:LANES]):
+        apart = np.bitwise_count(a[i] ^ b[j])
+        far += apart
+        ok = (apart <= LANE_BITS) & (far <= max_bits)
+        i, j, far = i[ok], j[ok], far[ok]
+    ok = sum(np.bitwise_count(a[i] ^ b[j]).astype(np.int64) for a, b in zip(left[LANES:], right[LANES:])) <= ORDER_BITS
+    i, j = i[ok], j[ok]
+    differ = [a[i] ^ b[j] for a, b in zip(left[:LANES], right[:LANES])]
+    for low, high in earlier:
+        ok = np.bitwise_count(_value(differ, low, high)) > 1
+        i, j, differ = i[ok], j[ok], [d[ok] for d in differ]
+    return i, j
+
+
+def _compare(bounds: list[tuple[int, int]], groups: int, max_bits: int):
+    """For mapInArrow over all rows (task, side, rep, s0, ..., o0, ...) of tasks: pairs (a, b) of near
+    signatures.  side: 0 left, 1 right, 2 both; task modulo groups tells the segments."""
+
+    def pairs(left: list[np.ndarray], right: list[np.ndarray], same: bool, group: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for s in range(group, len(bounds), groups):
+            some, size = [], 0
+            for met in _meetings(left, right, *bounds[s], same):
+                some.append(met)
+                size += len(met[0])
+                if size >= AT_ONCE:
+                    yield _near(left, right, *map(np.concatenate, zip(*some)), bounds[:s], max_bits)
+                    some, size = [], 0
+            if some:
+                yield _near(left, right, *map(np.concatenate, zip(*some)), bounds[:s], max_bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not (got := list(batches)):
+            return
+        whole = pa.Table.from_batches(got)
+        task, side, rep = (whole.column(c).to_numpy() for c in ("task", "side", "rep"))
+        lanes = [whole.column(c).to_numpy().view(np.uint64) for c in _ALL]
+        del got, whole
+        for n in np.unique(task):
+            own, other = (np.flatnonzero((task == n) & (side != k)) for k in (1, 0))
+            a, b = [x[own] for x in lanes], [x[other] for x in lanes]
+            for i, j in pairs(a, b, bool((side[own] == 2).any()), int(n) % groups):
+                i, j = rep[own[i]], rep[other[j]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], ["a", "b"])
 
     return run
 
 
-def _apart(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
-
-
-def near(left: list[Column], right: list[Column], max_bits: int = MAX_BITS) -> Column:
-    """Whether two signatures (columns of the lanes, those of order last) are of near copies."""
-    lanes = [_apart(a, b) for a, b in zip(left, right)]
-    add = lambda some: reduce(lambda x, y: x + y, some)
-    each = reduce(lambda x, y: x & y, [x <= LANE_BITS for x in lanes[:LANES]])
-    return each & (add(lanes[:LANES]) <= max_bits) & (add(lanes[LANES:]) <= ORDER_BITS)
-
-
-def similar(signs: DataFrame, max_bits: int = MAX_BITS, passes: int = PASSES) -> list[DataFrame]:
-    """Spooled tables of pairs (a, b), a < b, of reps of near signatures; a pair may be in several of
-    them.  signs: rows (rep, s0, ..., o0, ...), each rep once."""
-    spark, out = signs.sparkSession, []
-    lean = signs.select("rep", *_LANE)
-    for p in range(min(passes, SEGMENTS)):
-        index = lean.mapInArrow(_variants(list(range(p, SEGMENTS, passes))), "key long, rep long, probe long")
-        left, right = index.toDF("key", "a", "pa"), index.toDF("key", "b", "pb")
-        met = left.join(right, "key").where((F.col("a") < F.col("b")) & (_apart(F.col("pa"), F.col("pb")) <= LANE_BITS))
-        pairs = met.select("a", "b").distinct()
-        for side in ("a", "b"):
-            pairs = pairs.join(signs.select(F.col("rep").alias(side), *(F.col(c).alias(side + c) for c in _ALL)), side)
-        pairs = pairs.where(near([F.col("a" + c) for c in _ALL], [F.col("b" + c) for c in _ALL], max_bits)).select("a", "b")
+def similar(signs: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK, small: int = SMALL) -> list[DataFrame]:
+    """Spooled tables of pairs (a, b), a < b, of reps of near signatures: all there are, each once.
+    signs: rows (rep, s0, ..., o0, ...), each rep once.  Near are signatures that differ in at most
+    max_bits bits over all, LANE_BITS in each lane and ORDER_BITS in the lanes of order.
+
+    Signatures are dealt to an odd number of blocks of about ``block``; at distance d of 0, 1, ... each
+    block meets the d-th after it, which is all pairs of blocks once.  Few blocks make few tasks, so
+    their segments are shared among several.  Some distances are one pass, so no more than COPIES
+    copies (about) of the signatures are on disk.  Up to ``small`` signatures all pairs are compared."""
+    spark, out, rows, bounds = signs.sparkSession, [], signs.count(), _bounds(max_bits)
+    if rows <= small:
+        block, bounds = min(block, SMALL_BLOCK), [(0, 0)]  # one segment of no bits, in which all agree
+    blocks = -(-rows // block) | 1
+    groups = min(len(bounds), max(1, COPIES // blocks), rows // 1024 + 1)
+    apart, step = range(blocks // 2 + 1), max(1, (COPIES // groups + 1) // 2)
+    own = F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int")
+    for first in range(0, len(apart), step):
+        now, to = apart[first : first + step], []
+        for d in now:
+            for at, side in ((own, 0), (F.pmod(own - d, F.lit(blocks)), 1)) if d else ((own, 2),):
+                to += [F.struct(((at + (d - first) * blocks) * groups + g).cast("int").alias("task"), F.lit(side).alias("side")) for g in range(groups)]
+        sent = signs.select(F.explode(F.array(*to)).alias("to"), "rep", *_ALL).select("to.task", "to.side", "rep", *_ALL)
+        pairs = sent.repartitionById(len(now) * blocks * groups, F.col("task")).mapInArrow(_compare(bounds, groups, max_bits), "a long, b long")
         out.append(spool(pairs, "near-pairs"))
-        del index, left, right, met, pairs
-        release(spark)  # of the pass's part of the index
+        del sent, pairs
+        release(spark)  # of the copies of the pass
     return out
 
 
@@ -204,16 +289,14 @@ def _grouped(docs: DataFrame, max_bits: int) -> tuple[DataFrame, DataFrame]:
     own = spool(signed(docs), "signatures")
     signs = spool(classes(own), "classes")
     parts = similar(signs, max_bits)
-    pairs = spool(reduce(DataFrame.unionAll, parts).distinct(), "near-pairs")
-    for p in parts:
-        unspool(p)
+    pairs = reduce(DataFrame.unionAll, parts)
     found = components(pairs)
     linked = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     placed = signs.join(found.withColumnRenamed("node", "rep"), "rep", "left").join(linked, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     groups = placed.groupBy("root").agg(F.min("first").alias("keeper"), F.sum("n").alias("size")).where("size > 1")
     out = placed.join(groups, "root").select(*_ALL, F.col("keeper.doc_id").alias("group_id"), "keeper", (F.col("n") - 1).alias("n_same"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     out = spool(out, "groups")
-    for df in (signs, pairs, found):
+    for df in (signs, *parts, found):
         unspool(df)
     return own, out
 

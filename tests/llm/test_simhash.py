@@ -83,6 +83,41 @@ def test_recall_in_each_band_up_to_the_threshold(spark):
     assert all(x >= (1 if d <= S.GUARANTEED else least.get(d, 0.98)) for d, x in share.items()), share
 
 
+@pytest.mark.parametrize("block, small", [(S.BLOCK, S.SMALL), (S.BLOCK, 0), (150, 0), (7, S.SMALL)])
+def test_no_pair_up_to_the_threshold_is_missed(spark, block, small):
+    """Also where differing bits are spread evenly, so that wide segments differ in several each; a bit
+    more in all, in a lane or in the order, and it is no pair.  Chains of pairs come once each."""
+    r = np.random.default_rng(17)
+    base = r.integers(0, 2**64, (90, S.LANES + S.ORDER_LANES), dtype=np.uint64)
+    near = base.copy()
+    spread = lambda n, bits: np.arange(n) * bits // n
+    order = S.LANES * 64
+    kinds = [
+        (spread(S.MAX_BITS, order), True), (spread(S.MAX_BITS - 7, order), True), (spread(S.MAX_BITS + 1, order), False), ([*range(S.LANE_BITS), *range(64, 64 + S.LANE_BITS)], True), (range(S.LANE_BITS + 1), False),
+        ([*spread(S.MAX_BITS, order), *(order + spread(S.ORDER_BITS, 128))], True), (order + spread(S.ORDER_BITS + 1, 128), False),
+    ]
+    for n, row in enumerate(near):
+        for at in kinds[n % len(kinds)][0]:
+            row[at // 64] ^= np.uint64(1) << np.uint64(at % 64)
+    chain = np.repeat(base[:1], 12, axis=0)
+    for n, row in enumerate(chain):
+        row[0] ^= np.uint64(2**n)
+    rows = np.concatenate([base, near, chain])
+    got = [tuple(x) for p in S.similar(table(spark, rows), block=block, small=small) for x in p.collect()]
+    chained = [0, 90, *range(180, 192)]
+    near_far = {(90, i): sum(int(a ^ b).bit_count() for a, b in zip(near[0], chain[i - 180])) <= S.MAX_BITS for i in chained[2:]}
+    want = {(n, n + 90) for n in range(90) if kinds[n % len(kinds)][1]} | {(a, b) for a in chained for b in chained if a < b and near_far.get((a, b), True)}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_a_wider_threshold_has_more_segments(spark):
+    signs = np.random.default_rng(19).integers(0, 2**64, (2, S.LANES + S.ORDER_LANES), dtype=np.uint64)
+    signs[1] = signs[0]
+    signs[1, : S.LANES] ^= np.packbits(np.arange(320) % 4 == 0, bitorder="little").view(np.uint64)  # 80 bits, 16 in each lane
+    for most, n in ((79, 0), (80, 1)):
+        assert len({tuple(x) for p in S.similar(table(spark, signs), most, small=0) for x in p.collect()}) == n
+
+
 def test_components_against_union_find(spark):
     r = random.Random(1)
     pairs = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)] + [(400, i) for i in range(401, 440)]
