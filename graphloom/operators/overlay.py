@@ -14,6 +14,8 @@ from .traverse import containment
 
 #: Below this a resolution must stay unresolved.
 SURE = 0.7
+#: Nodes, edges or ambiguities of a file, each, that a row of context() holds.
+CONTEXT_ITEMS = 100_000
 #: What a model is asked about, and what it must say.
 REQUIRED = ("intent", "summary", "complexity_score", "domain_tags", "enriched_at_hash", "enriched_at")
 
@@ -116,24 +118,36 @@ def resolve_ambiguities(ambiguities: DataFrame) -> DataFrame:
     return ambiguities.withColumn("llm_resolution", told)
 
 
-def context(nodes: DataFrame, edges: DataFrame, ambiguities: DataFrame) -> DataFrame:
-    """(owner, node_ids, edges, ambiguities) for each file: what a model needs to know about it.  node_ids
-    are sorted; edges (source, target, type) are those that touch one of its nodes; ambiguities (id, kind,
-    expression, scope, candidates) are in the order of their ids, candidates being the nodes of any file
-    that bear a name of the expression.  A file's row is as large as the file; nothing is gathered
-    beyond that."""
+def context(nodes: DataFrame, edges: DataFrame, ambiguities: DataFrame, items: int = CONTEXT_ITEMS) -> DataFrame:
+    """(owner, segment, node_ids, edges, ambiguities) for each file: what a model needs to know about it.
+    edges (source, target, type) are those that touch one of its nodes; ambiguities (id, kind, expression,
+    scope, candidates) have as candidates the nodes of any file that bear a name of the expression.
+
+    A file with at most ``items`` of each has one row, segment 0.  A larger one has as many rows as it
+    takes, over which its nodes, edges and ambiguities are spread by hash, so no row outgrows ``items``
+    by much; each is in one of them.  Within a row node_ids, edges and ambiguities are sorted."""
     owned = spool(containment(nodes, edges), "owned")
-    members = owned.groupBy("owner").agg(F.array_sort(F.collect_set("id")).alias("node_ids"))
-    edge = F.struct("source", "target", "type")
-    ends = edges.select(edge.alias("edge"), F.explode(F.array("source", "target")).alias("id"))
-    touched = ends.join(owned, "id").select("owner", "edge").distinct().groupBy("owner").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
+    end = lambda here, there, out: F.struct(F.col(here).alias("id"), F.col(there).alias("other"), F.lit(out).alias("out"))
+    ends = edges.select("type", F.explode(F.array(end("source", "target", True), end("target", "source", False))).alias("end")).select("type", "end.id", "end.other", "end.out")
+    source, target = (F.when(F.col("out"), F.col(a)).otherwise(F.col(b)).alias(n) for a, b, n in (("id", "other", "source"), ("other", "id", "target")))
+    touched = spool(ends.join(owned, "id").select("owner", F.struct(source, target, "type").alias("edge")), "touched")
     could = candidates(nodes, ambiguities).groupBy(F.col("ambiguity").alias("id")).agg(F.array_sort(F.collect_list("candidate")).alias("candidates"))
     doubts = ambiguities.select("id", "kind", "expression", F.col("source_scope").alias("scope")).join(could, "id", "left")
     doubts = doubts.join(owned.withColumnRenamed("id", "scope"), "scope")
-    none = F.array().cast("array<string>")
-    told = doubts.groupBy("owner").agg(F.array_sort(F.collect_list(F.struct("id", "kind", "expression", "scope", F.coalesce("candidates", none).alias("candidates")))).alias("ambiguities"))
-    empty = lambda c, df: F.coalesce(c, F.array().cast(df.schema[c].dataType)).alias(c)
-    return members.join(touched, "owner", "left").join(told, "owner", "left").select("owner", "node_ids", empty("edges", touched), empty("ambiguities", told))
+    doubt = F.struct("id", "kind", "expression", "scope", F.coalesce("candidates", F.array().cast("array<string>")).alias("candidates"))
+    told = spool(doubts.select("owner", doubt.alias("doubt")), "told")
+    each = owned.select("owner", F.col("id").alias("node")).unionByName(touched, allowMissingColumns=True).unionByName(told, allowMissingColumns=True)
+    counted = each.groupBy("owner").agg(F.greatest(*(F.count(c) for c in ("node", "edge", "doubt"))).alias("most"), F.count(F.lit(1)).alias("n"))
+    counted = spool(counted, "sizes")
+    # Files that take several rows are fewer than all items divided by ``items``.
+    large = counted.where(F.col("most") > items).select("owner", F.ceil(F.col("most") / items).alias("parts"))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    at = F.pmod(F.xxhash64("node", "edge", "doubt.id"), F.coalesce("parts", F.lit(1)))
+    spread = each.join(F.broadcast(large), "owner", "left").select("owner", at.cast("int").alias("segment"), "node", "edge", "doubt")
+    # Rows meet their segment at once: nothing is gathered twice, and no task gets more than some segments.
+    spread = spread.repartition(int(total // (2 * CONTEXT_ITEMS)) + 1, "owner", "segment")
+    listed = (F.array_sort(f(c)).alias(n) for f, c, n in ((F.collect_set, "node", "node_ids"), (F.collect_set, "edge", "edges"), (F.collect_list, "doubt", "ambiguities")))
+    return spread.groupBy("owner", "segment").agg(*listed)
 
 
 def candidates(nodes: DataFrame, ambiguities: DataFrame) -> DataFrame:

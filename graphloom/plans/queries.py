@@ -540,7 +540,8 @@ def l2_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = overlay.context(D.nodes(spark, sf_dir), D.edges(spark, sf_dir), D.ambiguities(spark, sf_dir))
     total = lambda c, f: F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + f(x))
     chars = total("edges", lambda e: F.length(F.concat_ws(">", e["source"], e["target"], e["type"])))
-    return found.select("owner", F.size("node_ids").cast("long").alias("n_nodes"), F.size("edges").cast("long").alias("n_edges"), chars.alias("edge_chars"), F.size("ambiguities").cast("long").alias("n_ambiguities"), total("ambiguities", lambda a: F.size(a["candidates"])).alias("n_candidates"))
+    each = found.select("owner", F.size("node_ids").cast("long").alias("n_nodes"), F.size("edges").cast("long").alias("n_edges"), chars.alias("edge_chars"), F.size("ambiguities").cast("long").alias("n_ambiguities"), total("ambiguities", lambda a: F.size(a["candidates"])).alias("n_candidates"))
+    return each.groupBy("owner").agg(*(F.sum(c).alias(c) for c in each.columns[1:]))
 
 
 @register("l2_candidates", _GA + """, words AS (SELECT id, unnest(list_distinct(regexp_extract_all(expression, '\\w+'))) AS w FROM ambs) SELECT DISTINCT w.id AS ambiguity, n.id AS candidate FROM words w JOIN nodes n ON n.name = w.w""")

@@ -141,6 +141,21 @@ def test_diff_is_written(spark, tmp_path):
     assert [r.violation for r in validate.first_violations(old.equivalence(new), 2).collect()] == sorted(r.violation for r in old.equivalence(new).collect())[:2]
 
 
+def test_context_of_a_large_file_takes_several_rows(spark, tree):
+    g = CodeGraph.build(spark, str(tree))
+    whole = {r.owner: r for r in g.context().collect()}
+    parts: dict[str, list] = {}
+    for r in overlay.context(g.nodes, g.edges, g.ambiguities, items=2).collect():
+        parts.setdefault(r.owner, []).append(r)
+    assert set(parts) == set(whole) and any(len(rows) > 1 for rows in parts.values())
+    for owner, rows in parts.items():
+        assert len({r.segment for r in rows}) == len(rows)
+        for part in ("node_ids", "edges", "ambiguities"):
+            assert sorted(x for r in rows for x in r[part]) == sorted(whole[owner][part]), (owner, part)
+    small = next(r for r in whole.values() if len(r.node_ids) <= 2 and len(r.edges) <= 1 and len(r.ambiguities) <= 2)
+    assert len(parts[small.owner]) == 1
+
+
 def test_context_has_edges_and_candidates(spark, tree):
     g = CodeGraph.build(spark, str(tree), ("python",))
     by = {r.owner: r for r in g.context().collect()}
