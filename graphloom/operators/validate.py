@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schema import CONFIDENCES, EDGE_RULES, NODE_TYPES, edge_rules
+from ..sources.shared import spread
 
 
 def orphan_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -97,7 +98,8 @@ def node_changes(raw: DataFrame, enriched: DataFrame) -> DataFrame:
 def edge_changes(raw: DataFrame, enriched: DataFrame) -> DataFrame:
     """(violation, detail): edges that only one of two graphs has, by one aggregation over both."""
     both = _keys(raw).withColumn("side", F.lit(0)).unionAll(_keys(enriched).withColumn("side", F.lit(1)))
-    seen = both.groupBy("source", "target", "type").agg(F.min("side").alias("first"), F.max("side").alias("last")).where("first = last")
+    # Hardly any rows are equal on one side, so they meet first and are aggregated once.
+    seen = spread(both, "source", "target", "type").groupBy("source", "target", "type").agg(F.min("side").alias("first"), F.max("side").alias("last")).where("first = last")
     return seen.select(F.when(F.col("first") == 0, "edge_removed").otherwise("edge_added").alias("violation"), F.concat_ws(" ", "source", "type", "target").alias("detail"))
 
 

@@ -52,6 +52,21 @@ def spool(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     return out
 
 
+#: Bytes of input files (columns packed as Parquet packs them) for each partition of spread().
+SPREAD_BYTES = 4_000_000
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df with rows of equal keys together, in as many partitions as its input files ask for.  Their number
+    grows with the input, whatever spark.sql.shuffle.partitions is, and small ones aren't joined to larger ones,
+    so what a task holds stays the same."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    # What has no size of its own (rows made by code) says it is endless.
+    n_bytes = sum(x for x in sizes if x < 1 << 50)
+    return df.repartition(min(max(n_bytes // SPREAD_BYTES, df.sparkSession.sparkContext.defaultParallelism), 20_000), *keys)
+
+
 def unspool(df: DataFrame) -> None:
     """Delete a spooled table that nothing reads any more."""
     spark = df.sparkSession

@@ -1,0 +1,15 @@
+"""What a task holds doesn't grow with the input."""
+
+from graphloom.operators import validate
+from graphloom.sources import shared
+
+
+def test_compared_edges_spread_with_their_input(spark, tmp_path, monkeypatch):
+    at = str(tmp_path / "edges")
+    spark.range(5000).selectExpr("id AS seq", "'a' || id AS source", "'b' || id % 7 AS target", "'calls' AS type").write.parquet(at)
+    edges = spark.read.parquet(at)
+    n_bytes = sum(p.stat().st_size for p in (tmp_path / "edges").glob("*.parquet"))
+    monkeypatch.setattr(shared, "SPREAD_BYTES", n_bytes // 20)
+    found = validate.edge_changes(edges, edges.where("seq <> 3"))
+    assert found.rdd.getNumPartitions() >= 40 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert [tuple(r) for r in found.collect()] == [("edge_removed", "a3 calls b3")]
