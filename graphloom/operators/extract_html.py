@@ -28,6 +28,8 @@ DYNAMIC = ("{{", "{%")
 DYNAMIC_COMPAT = ("{{ }}", "{% %}")
 #: More than there are rules, so that a place in a page is its tag's number times this plus the rule's.
 RULES = 64
+#: Tags that a task gives to Spark at once: it keeps those and one page, however many pages come together.
+TAGS = 10_000
 _RULE = "rank int, tag string, attribute string, edge string, target_type string, condition string, values array<string>"
 _TAGS = "path string, at int, line int, tag string, attrs map<string,string>"
 
@@ -41,19 +43,27 @@ class _Tags(HTMLParser):
         self.found.append((self.getpos()[0], tag, {k: v for k, v in attrs if v is not None}))
 
 
+def _tag_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
 def tags(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """One row (path, at, line, tag, attrs) for each start tag."""
     schema = pa.schema([("path", pa.string()), ("at", pa.int32()), ("line", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        rows: list[tuple] = []
         for b in batches:
-            rows: list[tuple] = []
-            for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                parser = _Tags()
-                parser.feed(text)
+            for i in range(b.num_rows):
+                name, parser = b.column(0)[i].as_py(), _Tags()
+                parser.feed(b.column(1)[i].as_py())
                 parser.close()
-                rows += [(name, at, line, tag, list(attrs.items())) for at, (line, tag, attrs) in enumerate(parser.found)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+                for at, (line, tag, attrs) in enumerate(parser.found):
+                    rows.append((name, at, line, tag, list(attrs.items())))
+                    if len(rows) >= TAGS:
+                        yield _tag_batch(rows, schema)
+                        rows = []
+        yield _tag_batch(rows, schema)
 
     return files.select(F.col(path).alias("path"), F.col(content).alias("content")).where("path IS NOT NULL AND content IS NOT NULL").mapInArrow(run, _TAGS)
 

@@ -13,3 +13,18 @@ def test_compared_edges_spread_with_their_input(spark, tmp_path, monkeypatch):
     found = validate.edge_changes(edges, edges.where("seq <> 3"))
     assert found.rdd.getNumPartitions() >= 40 > int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert [tuple(r) for r in found.collect()] == [("edge_removed", "a3 calls b3")]
+
+
+def test_tags_come_in_small_batches(spark):
+    import pyarrow as pa
+
+    from graphloom.operators import extract_html
+
+    class Files:
+        select = where = lambda self, *columns: self
+        mapInArrow = lambda self, run, ddl: run
+
+    run = extract_html.tags(Files())
+    pages = pa.RecordBatch.from_arrays([pa.array(["a", "b", "c"]), pa.array(["<a href='x'>" * n for n in (12_000, 0, 13_000)])], ["path", "content"])
+    sizes = [b.num_rows for b in run(iter([pages]))]
+    assert sum(sizes) == 25_000 and max(sizes) <= 10_000
