@@ -17,6 +17,8 @@ from ..sources.shared import spool, unspool
 
 #: Edges that the ordered walk may gather on the driver.
 ORDERED_EDGES = 1_000_000
+#: Nodes within reach up to which edges are chosen by their ids, before they are joined or aggregated.
+LISTED = 1_000
 
 
 def reach(edges: DataFrame, start: str, depth: int, reverse: bool = False) -> DataFrame:
@@ -86,7 +88,9 @@ def reach_ordered(nodes: DataFrame, edges: DataFrame, start: str, depth: int, re
     here, there = ("target", "source") if reverse else ("source", "target")
     near = reach(edges, start, max(depth - 1, 0), reverse).select(F.col("id").alias("near"))
     near = near.unionAll(edges.sparkSession.createDataFrame([(start,)], "near string")).distinct()
-    own = edges.join(near, F.col(here) == F.col("near"), "left_semi").where(F.col(there).isNotNull())
+    listed = [r.near for r in near.limit(LISTED + 1).collect()]
+    own = edges.where(F.col(here).isin(listed)) if len(listed) <= LISTED else edges.join(near, F.col(here) == F.col("near"), "left_semi")
+    own = own.where(F.col(there).isNotNull())
     rows = own.orderBy("seq").select(here, there, "type").limit(ORDERED_EDGES + 1).collect()
     if len(rows) > ORDERED_EDGES:
         raise ValueError(f"over {ORDERED_EDGES} edges are within reach; use the breadth-first walk")

@@ -28,3 +28,16 @@ def test_tags_come_in_small_batches(spark):
     pages = pa.RecordBatch.from_arrays([pa.array(["a", "b", "c"]), pa.array(["<a href='x'>" * n for n in (12_000, 0, 13_000)])], ["path", "content"])
     sizes = [b.num_rows for b in run(iter([pages]))]
     assert sum(sizes) == 25_000 and max(sizes) <= 10_000
+
+
+def test_ordered_walk_chooses_edges_by_id(spark, monkeypatch):
+    from graphloom.operators import traverse
+
+    rows = [(i, s, t, "calls") for i, (s, t) in enumerate([("A", "B"), ("B", "C"), ("A", "C"), ("C", "D"), ("X", "A"), (None, "A")])]
+    edges = spark.createDataFrame(rows, "seq long, source string, target string, type string")
+    nodes, real, kinds = spark.createDataFrame([(x, "F") for x in "ABCD"], "id string, node_type string"), type(edges).join, []
+    monkeypatch.setattr(type(edges), "join", lambda self, other, on=None, how=None: kinds.append(how) or real(self, other, on, how))
+    by_id = sorted(map(tuple, traverse.reach_ordered(nodes, edges, "A", 2).collect()))
+    assert "left_semi" not in kinds and by_id == [("B", 1, "calls", "F"), ("C", 2, "calls", "F")]
+    monkeypatch.setattr(traverse, "LISTED", 0)
+    assert sorted(map(tuple, traverse.reach_ordered(nodes, edges, "A", 2).collect())) == by_id and "left_semi" in kinds
